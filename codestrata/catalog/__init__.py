@@ -1 +1,9 @@
+"""Registered queries, by family."""
 
+from __future__ import annotations
+
+
+def registries() -> list:
+    from . import documents
+
+    return [documents.R]
