@@ -6,10 +6,33 @@ from pyspark.sql import functions as F
 
 from ..catalog.base import Registry
 from ..session import read_table
-from . import quality_rules, sharding
+from . import bpe, ppm, quality_model, quality_rules, sharding, token_counts, toxicity
+from .common import crc_mod
 
 R = Registry()
 
+VOCABULARY = "word_bpe_49k.json"
+
+
+def vocabulary() -> str:
+    """Place of the public vocabulary file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
+@R.query("op2_toxicity")
+def op2_toxicity(spark, sf_dir):
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels, crc_mod("doc_id", 5) != 0)
+    return toxicity.score_documents(docs, model).select(
+        "doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@R.query("op3_bpe_encoding")
+def op3_bpe_encoding(spark, sf_dir):
+    return bpe.digests(read_table(spark, sf_dir, "documents"), vocabulary())
+
 
 @R.query("op4_quality_rules")
 def op4_quality_rules(spark, sf_dir):
@@ -18,6 +41,19 @@ def op4_quality_rules(spark, sf_dir):
                       "base_failed", "kept", "distance")
 
 
+@R.query("op5_token_counts")
+def op5_token_counts(spark, sf_dir):
+    return token_counts.count_pieces(read_table(spark, sf_dir, "documents"), vocabulary())
+
+
+@R.query("op7_ppm_scoring")
+def op7_ppm_scoring(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    scored = ppm.score_documents(docs, crc_mod("doc_id", 5) != 1)
+    return scored.select("doc_id", (crc_mod("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known",
+                         "train_tokens", "base_score", "score")
+
+
 @R.query("op9_extendible_sharding", f"""
 WITH d AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes,
            CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS h FROM documents),
@@ -29,3 +65,11 @@ SELECT doc_id, n_bytes, CAST(depth AS INTEGER) AS depth, prefix, CAST(shard_byte
 FROM best WHERE rn = 1""")
 def op9_extendible_sharding(spark, sf_dir):
     return sharding.assign_shards(read_table(spark, sf_dir, "documents"))
+
+
+@R.query("op10_quality_classifier")
+def op10_quality_classifier(spark, sf_dir):
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = quality_model.train(docs, labels, crc_mod("doc_id", 4) != 2)
+    return quality_model.score_documents(docs, model).select(
+        "doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
