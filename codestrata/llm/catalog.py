@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalog.base import Registry
 from ..session import read_table
-from . import bpe, ppm, quality_model, quality_rules, sharding, token_counts, toxicity
+from . import bpe, decontaminate, ppm, quality_model, quality_rules, sharding, substrings, token_counts, toxicity
 from .common import crc_mod
 
 R = Registry()
@@ -46,6 +46,20 @@ def op5_token_counts(spark, sf_dir):
     return token_counts.count_pieces(read_table(spark, sf_dir, "documents"), vocabulary())
 
 
+@R.query("op6_substring_dedup", r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS words FROM documents),
+win AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS win FROM w, unnest(generate_series(1, len(words) - 12)) AS t(i)),
+low AS (SELECT win, min(doc_id) AS least FROM win GROUP BY win),
+gone AS (SELECT DISTINCT doc_id, i + k AS at FROM win JOIN low USING (win), unnest(generate_series(0, 12)) AS t(k) WHERE least < doc_id),
+pos AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS at FROM w),
+kept AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.at) AS kept, count(*) AS n FROM pos p
+         LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.at = p.at WHERE g.at IS NULL GROUP BY p.doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id""")
+def op6_substring_dedup(spark, sf_dir):
+    return substrings.digests(read_table(spark, sf_dir, "documents"))
+
+
 @R.query("op7_ppm_scoring")
 def op7_ppm_scoring(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
@@ -54,6 +68,11 @@ def op7_ppm_scoring(spark, sf_dir):
                          "train_tokens", "base_score", "score")
 
 
+@R.query("op8_decontamination")
+def op8_decontamination(spark, sf_dir):
+    return decontaminate.find_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 @R.query("op9_extendible_sharding", f"""
 WITH d AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes,
            CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS h FROM documents),
