@@ -22,6 +22,8 @@ import unicodedata
 from functools import lru_cache
 from struct import pack
 
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
@@ -174,17 +176,25 @@ def automaton(path: str) -> Automaton:
 
 
 def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids array<long>, decoded) for every row; a null text has no ids.
+    """(key, ids array<int>, n_tokens, ids_sha256, decoded_sha256) for every row; a null text has no ids.
 
     Row by row, so nulls, repeated rows and empty tables need no rule of their own;
     further columns are ignored.
     """
     def run(c):
         got = [automaton(path).encode(t) for t in c["text"]]
-        return {"doc_id": c["doc_id"], "ids": [list(memoryview(g[0]).cast("I")) for g in got], "decoded": [g[1] for g in got]}
+        at = np.concatenate([[0], np.cumsum([g[2] for g in got])]).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(g[0] for g in got), np.int32)))
+        return {"ids": ids} | _digested(c["doc_id"], got)
 
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    return arrow_map(rows, run, "doc_id long, ids array<long>, decoded string").withColumnRenamed("doc_id", key)
+    return arrow_map(rows, run, "doc_id long, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("doc_id", key)
+
+
+def _digested(keys: list, got: list[tuple[bytes, str, int]]) -> dict:
+    return {"doc_id": keys, "n_tokens": [g[2] for g in got],
+            "ids_sha256": [hashlib.sha256(g[0]).hexdigest() for g in got],
+            "decoded_sha256": [hashlib.sha256(g[1].encode("utf-8", "surrogatepass")).hexdigest() for g in got]}
 
 
 def decode_ids(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -199,10 +209,7 @@ def decode_ids(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "i
 def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256) for every row, without shipping the ids."""
     def run(c):
-        got = [automaton(path).encode(t) for t in c["text"]]
-        return {"doc_id": c["doc_id"], "n_tokens": [g[2] for g in got],
-                "ids_sha256": [hashlib.sha256(g[0]).hexdigest() for g in got],
-                "decoded_sha256": [hashlib.sha256(g[1].encode("utf-8", "surrogatepass")).hexdigest() for g in got]}
+        return _digested(c["doc_id"], [automaton(path).encode(t) for t in c["text"]])
 
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     return arrow_map(rows, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("doc_id", key)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalog.base import Registry
 from ..session import read_table
-from . import bpe, decontaminate, ppm, quality_model, quality_rules, sharding, substrings, token_counts, toxicity
+from . import bpe, decontaminate, jaccard_join, ppm, quality_model, quality_rules, sharding, substrings, token_counts, toxicity
 from .common import crc_mod
 
 R = Registry()
@@ -21,6 +21,11 @@ def vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+@R.query("op1_jaccard_join")
+def op1_jaccard_join(spark, sf_dir):
+    return jaccard_join.join_documents(read_table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 @R.query("op2_toxicity")
 def op2_toxicity(spark, sf_dir):
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")

@@ -17,6 +17,7 @@ interval settles the run.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -233,37 +234,41 @@ def first_holders(docs: DataFrame) -> DataFrame:
     return rows.join(least, "digest").select("doc_id", "h", "first_id")
 
 
+@F.pandas_udf("n_words long, n_removed long, kept string")
+def _keep(text: pd.Series, copy: pd.Series, starts: pd.Series) -> pd.DataFrame:
+    out = []
+    for t, c, s in zip(text, copy, starts):
+        words = words_of(t)
+        gone = np.zeros(len(words), bool)
+        if c is True and len(words) >= WINDOW:
+            gone[:] = True
+        elif s is not None and len(s):
+            edge = np.zeros(len(words) + 1, np.int32)
+            np.add.at(edge, s, 1)
+            np.add.at(edge, np.asarray(s) + WINDOW, -1)
+            gone = np.cumsum(edge[:-1]) > 0
+        kept = b" ".join(w for w, g in zip(words, gone.tolist()) if not g)
+        out.append((len(words), int(gone.sum()), kept.decode("utf-8", "surrogatepass")))
+    return pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])
+
+
 def dedup(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, n_words, n_removed, kept) for every row of ``docs``.
+    """``docs``, all columns, with a struct dedup of n_words, n_removed and kept.
 
     kept: the words that stay, joined by one blank. Null text: no words. A text with
     fewer than WINDOW words has no window and stays. Rows with a null doc_id stay and
     remove nothing; rows of one doc_id are one document as far as "smaller" goes, so they
-    don't remove each other's words. Empty table: no rows. Further columns are ignored.
+    don't remove each other's words. Empty table: no rows. A column of ``docs`` that is
+    itself named dedup is replaced.
     """
-    copies = first_holders(docs).filter("first_id < doc_id").select("doc_id", "h", F.lit(True).alias("copy")).distinct()
-    rows = keyed(docs).join(copies, ["doc_id", "h"], "left").join(repeated_windows(docs), ["doc_id", "h"], "left")
-
-    def run(c):
-        out = {k: [] for k in ("doc_id", "text", "n_words", "n_removed", "kept")}
-        for key, text, copy, starts in zip(c["doc_id"], c["text"], c["copy"], c["starts"]):
-            words = words_of(text)
-            gone = np.zeros(len(words), bool)
-            if copy and len(words) >= WINDOW:
-                gone[:] = True
-            elif starts:
-                edge = np.zeros(len(words) + 1, np.int32)
-                np.add.at(edge, starts, 1)
-                np.add.at(edge, np.array(starts) + WINDOW, -1)
-                gone = np.cumsum(edge[:-1]) > 0
-            kept = [w for w, g in zip(words, gone.tolist()) if not g]
-            for k, v in zip(out, (key, text, len(words), int(gone.sum()), b" ".join(kept).decode("utf-8", "surrogatepass"))):
-                out[k].append(v)
-        return out
-
-    return arrow_map(rows.select("doc_id", "text", "copy", "starts"), run,
-                     "doc_id long, text string, n_words long, n_removed long, kept string")
+    copies = first_holders(docs).filter("first_id < doc_id").select(
+        F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.lit(True).alias("_copy")).distinct()
+    hits = repeated_windows(docs).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.col("starts").alias("_starts"))
+    rows = docs.withColumns({"_d": F.col("doc_id"), "_h": F.xxhash64("text")})
+    rows = rows.join(copies, ["_d", "_h"], "left").join(hits, ["_d", "_h"], "left")
+    return rows.withColumn("dedup", _keep("text", F.coalesce("_copy", F.lit(False)), "_starts")).drop("_d", "_h", "_copy", "_starts")
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    return dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return dedup(docs.select("doc_id", "text")).select(
+        "doc_id", "dedup.n_words", "dedup.n_removed", F.sha2("dedup.kept", 256).alias("kept_sha256"))
