@@ -19,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import WordHash, arrow_map, shingle_hashes, words_of
 
@@ -234,7 +234,11 @@ def first_holders(docs: DataFrame) -> DataFrame:
     return rows.join(least, "digest").select("doc_id", "h", "first_id")
 
 
-@F.pandas_udf("n_words long, n_removed long, kept string")
+_KEPT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
+                      T.StructField("kept", T.StringType())])
+
+
+@F.pandas_udf(_KEPT)
 def _keep(text: pd.Series, copy: pd.Series, starts: pd.Series) -> pd.DataFrame:
     out = []
     for t, c, s in zip(text, copy, starts):
