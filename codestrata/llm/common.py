@@ -6,7 +6,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 BLANKS = " \t\n\x0b\x0c\r"          # fixed value: what parts words in every contract
@@ -55,22 +54,6 @@ def lower_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-class WordHash(dict):
-    """Word to signed 64-bit hash; forgets all at LIMIT words, so its memory stays bounded."""
-
-    LIMIT = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = xxhash.xxh3_64_intdigest(word)
-        h = self[word] = h - (1 << 64) if h >> 63 else h
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -92,6 +75,53 @@ def shingle_hashes(h: np.ndarray, width: int) -> np.ndarray:
     return mixed(out).view(np.int64)
 
 
+_RANDOM = np.random.default_rng(20)
+_OF_BYTE = _RANDOM.integers(0, 1 << 64, 256, np.uint64)
+_OF_PLACE = _RANDOM.integers(0, 1 << 63, 1024, np.uint64) * np.uint64(2) + np.uint64(1)
+_IN_WORD = np.array([chr(b) not in BLANKS for b in range(256)])
+GROUP = 1 << 20         # bytes hashed at a time; a longer text is a group of its own
+
+
+def hash_texts(texts: list[bytes]) -> list[np.ndarray]:
+    """For each text the signed 64-bit hashes of its words, in order.
+
+    A word's hash sums a random number for each byte times one for its place, so that a
+    whole group of texts is hashed by a few array operations.
+    """
+    out: list[np.ndarray] = []
+    at = 0
+    while at < len(texts):
+        end, size = at + 1, len(texts[at])
+        while end < len(texts) and size + len(texts[end]) <= GROUP:
+            size += len(texts[end])
+            end += 1
+        out += _hash_group(texts[at:end])
+        at = end
+    return out
+
+
+def _hash_group(texts: list[bytes]) -> list[np.ndarray]:
+    buf = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
+    inside = _IN_WORD[buf]
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    starts, size = edges[::2], edges[1::2] - edges[::2]
+    if not len(starts):
+        return [np.zeros(0, np.int64)] * len(texts)
+    place = np.flatnonzero(inside)
+    inner = (place - np.repeat(starts, size)) & 1023
+    values = _OF_BYTE[buf[place]] * _OF_PLACE[inner]
+    h = np.add.reduceat(values, np.cumsum(size) - size)
+    h = mixed(h + size.astype(np.uint64) * _ODD).view(np.int64)
+    bounds = 1 + np.cumsum([0] + [len(t) + 1 for t in texts])
+    cut = np.searchsorted(starts, bounds)
+    return [h[i:j] for i, j in zip(cut[:-1], cut[1:])]
+
+
+def raw(text: str | None) -> bytes:
+    """A text as UTF-8; a null one is empty."""
+    return text.encode("utf-8", "surrogatepass") if text else b""
+
+
 def crc_mod(column: str, by: int) -> Column:
     """Remainder of crc32 over the column's text; a null column counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % by

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
-from .common import WordHash, arrow_map, lower_words, shingle_hashes
+from .common import arrow_map, hash_texts, raw, shingle_hashes
 from .graphs import components
 
 BLOCK = 200             # sets in a block, about
@@ -37,17 +37,10 @@ def need(n, percent: int):
     return -(-n * percent // 100)
 
 
-_HASHES: list[WordHash] = []
-
-
-def token_set(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct shingle hashes; of fewer words than ``width`` all make one shingle."""
-    if not _HASHES:
-        _HASHES.append(WordHash())
-    h = _HASHES[0].of(lower_words(text))
-    if not len(h):
-        return h
-    return np.unique(shingle_hashes(h, min(width, len(h))))
+def token_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of texts; of fewer words than ``width`` all make one shingle."""
+    return [np.unique(shingle_hashes(h, min(width, len(h)))) if len(h) else h
+            for h in hash_texts([raw(t).lower() for t in texts])]
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -57,7 +50,7 @@ def _digest(s: np.ndarray) -> bytes:
 def profiles(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, n, digest) for every row."""
     def run(c):
-        sets = [token_set(t, width) for t in c["text"]]
+        sets = token_sets(c["text"], width)
         return {"doc_id": c["doc_id"], "n": [len(s) for s in sets], "digest": [_digest(s) for s in sets]}
 
     return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n long, digest binary")
@@ -67,8 +60,7 @@ def samples(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(doc_id, digest, least, token): a fixed sample of every set; ``least`` of them must occur elsewhere."""
     def run(c):
         out = {k: [] for k in ("doc_id", "digest", "least", "tokens")}
-        for key, text in zip(c["doc_id"], c["text"]):
-            s = token_set(text, width)
+        for key, s in zip(c["doc_id"], token_sets(c["text"], width)):
             missing = len(s) - need(len(s), percent)
             took = s[:min(len(s), missing + 1 + len(s) * SAMPLE // 100)]
             for k, v in zip(out, (key, _digest(s), len(took) - missing, took)):
@@ -254,7 +246,7 @@ def join_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     leaders = leads.select(F.col("lead").alias("doc_id"), "d")
 
     def whole(c):
-        sets = [token_set(t, width) for t in c["text"]]
+        sets = token_sets(c["text"], width)
         return {"doc_id": c["doc_id"], "digest": [_digest(s) for s in sets], "tokens": sets}
 
     chosen = materialize(candidates(docs, leaders, width, percent), "set-candidates")

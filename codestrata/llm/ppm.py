@@ -19,18 +19,18 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize
-from .common import WordHash, arrow_map, lower_words
+from .common import STEP, arrow_map, hash_texts, raw
 
 ORDER = 3
 SHARE = 1 << 15         # most three-byte contexts kept
 FLUSH = 1 << 22         # positions a worker gathers before it sums them up
 FREQUENT = 100_000      # words whose counts are sent to every worker, at most
-END_WORD = b" "         # stands for the end of a text; no word can contain a blank
+END_HASH = 0x5851F42D4C957F2D   # stands for the end of a text among the word hashes
 
 
 def lowered(text: str | None) -> bytes:
     """A text in UTF-8 with A-Z in lower case; a null one is empty."""
-    return (text or "").encode("utf-8", "surrogatepass").lower()
+    return raw(text).lower()
 
 
 def grams(data: bytes) -> np.ndarray:
@@ -152,16 +152,17 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        hashes, held, size = WordHash(), [], 0
+        held, size = [], 0
 
         def summed():
             h, n = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], names=["word", "c"])
 
         for batch in batches:
-            for text in batch.column(0):
-                held.append(hashes.of([*lower_words(text.as_py()), END_WORD]))
-                size += len(held[-1])
+            for at in range(0, batch.num_rows, STEP):
+                texts = batch.column(0).slice(at, STEP).to_pylist()
+                held += [*hash_texts([lowered(t) for t in texts]), np.full(len(texts), END_HASH, np.int64)]
+                size += sum(map(len, held[-len(texts) - 1:]))
                 if size >= FLUSH:
                     yield summed()
                     held, size = [], 0
@@ -209,14 +210,12 @@ def score_documents(docs: DataFrame, keep: Column) -> DataFrame:
     table = spark.sparkContext.broadcast(frequent)      # at most FREQUENT entries
     below = np.log10(n_train + 0.5 * (distinct + 1))
 
-    hashes = WordHash()
-
     def run(c):
         out = {k: [] for k in ("doc_id", "n_tokens", "n_known", "base", "score", "rare", "times")}
         coder = _coder(grams_)
-        for key, text in zip(c["doc_id"], c["text"]):
-            data = lowered(text)
-            h = hashes.of([*data.split(), END_WORD])
+        texts = [lowered(t) for t in c["text"]]
+        for key, data, h in zip(c["doc_id"], texts, hash_texts(texts)):
+            h = np.append(h, END_HASH)
             found, n = table.value.find(h)
             rare, times = np.unique(h[~found], return_counts=True)
             out["doc_id"].append(key)

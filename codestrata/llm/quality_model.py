@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import WordHash, arrow_map
+from .common import arrow_map, hash_texts, raw
 from .features import STRUCTURE, Adam, sample_labels, structure
 
 BUCKETS = 2048          # word hashes
@@ -20,21 +20,18 @@ EPOCHS = 120
 WIDTH = BUCKETS + STRUCTURE
 
 
-class Inputs:
-    def __init__(self) -> None:
-        self.hash = WordHash()
-
-    def of(self, text: str | None, n_chars: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, values) of a document; words share a length of one."""
-        data = (text or "").encode("utf-8", "surrogatepass")
-        h = self.hash.of(data.lower().split())
-        stats = structure(data, h, len(text or "") if n_chars is None else n_chars)
+def inputs(texts: list[str | None], lengths: list[int | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(positions, values) of documents; words share a length of one."""
+    data, out = [raw(t) for t in texts], []
+    for text, d, h, n_chars in zip(texts, data, hash_texts([d.lower() for d in data]), lengths):
+        stats = structure(d, h, len(text or "") if n_chars is None else n_chars)
         counts = np.bincount(h & (BUCKETS - 1), minlength=BUCKETS)
         at = np.flatnonzero(counts)
         v = np.log1p(counts[at])
         if len(at):
             v /= np.sqrt(v @ v)
-        return np.concatenate([at, BUCKETS + np.arange(STRUCTURE)]), np.concatenate([v, stats])
+        out.append((np.concatenate([at, BUCKETS + np.arange(STRUCTURE)]), np.concatenate([v, stats])))
+    return out
 
 
 def score(model: tuple, at: np.ndarray, x: np.ndarray) -> float:
@@ -73,7 +70,7 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "qualit
     chosen = sample_labels(labels, label, keep, rows)
 
     def run(c):
-        got = [_inputs().of(t, n) for t, n in zip(c["text"], c["n_chars"])]
+        got = inputs(c["text"], c["n_chars"])
         return {"doc_id": c["doc_id"], "label": c["label"], "at": [g[0] for g in got], "x": [g[1] for g in got]}
 
     # at most ``rows`` small rows, so its size is bounded whatever the input
@@ -83,16 +80,6 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "qualit
     return fit([(y, np.array(a), np.array(v)) for y, a, v in zip(*(table[n].to_pylist() for n in ("label", "at", "x")))])
 
 
-_KEPT: list[Inputs] = []
-
-
-def _inputs() -> Inputs:
-    """One word-hash memory for each Python worker."""
-    if not _KEPT:
-        _KEPT.append(Inputs())
-    return _KEPT[0]
-
-
 def score_documents(docs: DataFrame, model: tuple) -> DataFrame:
     """(doc_id, score) for every row; an empty or null text is scored by its structure statistics.
 
@@ -102,7 +89,6 @@ def score_documents(docs: DataFrame, model: tuple) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)      # WIDTH x (RANK + 1) numbers, whatever the input
 
     def run(c):
-        return {"doc_id": c["doc_id"],
-                "score": [score(held.value, *_inputs().of(t, n)) for t, n in zip(c["text"], c["n_chars"])]}
+        return {"doc_id": c["doc_id"], "score": [score(held.value, *x) for x in inputs(c["text"], c["n_chars"])]}
 
     return arrow_map(docs.select("doc_id", "text", "n_chars"), run, "doc_id long, score double")

@@ -21,7 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import WordHash, arrow_map, shingle_hashes, words_of
+from .common import arrow_map, hash_texts, raw, shingle_hashes, words_of
 
 WINDOW = 13
 GRAM = 4
@@ -143,30 +143,24 @@ def anchors(h: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray
     return grams[place[first]], first, np.append(first[1:], n) - 1
 
 
-_HASHES: list[WordHash] = []
-
-
-def _hashes() -> WordHash:
-    if not _HASHES:
-        _HASHES.append(WordHash())
-    return _HASHES[0]
-
-
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    """``docs`` with _h, the hash of the text; (doc_id, _h) names a text."""
+    return docs.withColumn("_h", F.xxhash64("text"))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, anchor, first, last): anchors of every text with the windows they cover."""
+    """(anchor, h, doc, span): anchors of every text with the windows they cover.
+
+    doc hashes doc_id and text; span is the first window times 16 and the number of further ones.
+    """
     def run(c):
-        got = [anchors(_hashes().of(words_of(t))) for t in c["text"]]
-        return {"doc_id": c["doc_id"], "h": c["h"], "anchor": [g[0] for g in got],
-                "first": [g[1] for g in got], "last": [g[2] for g in got]}
+        got = [anchors(h) for h in hash_texts([raw(t) for t in c["text"]])]
+        return {"h": c["h"], "doc": c["doc"], "anchor": [g[0] for g in got], "span": [g[1] * 16 + g[2] - g[1] for g in got]}
 
-    rows = arrow_map(keyed(docs).filter("doc_id is not null"), run,
-                     "doc_id long, h long, anchor array<long>, first array<int>, last array<int>")
-    zipped = F.explode(F.arrays_zip("anchor", "first", "last")).alias("z")
-    return rows.select("doc_id", "h", zipped).select("doc_id", "h", "z.anchor", "z.first", "z.last")
+    rows = docs.filter("doc_id is not null").select(
+        "text", F.xxhash64("text").alias("h"), F.xxhash64("doc_id", F.xxhash64("text")).alias("doc"))
+    got = arrow_map(rows, run, "h long, doc long, anchor array<long>, span array<long>")
+    return got.select("h", "doc", F.explode(F.arrays_zip("anchor", "span")).alias("z")).select("h", "doc", "z.anchor", "z.span")
 
 
 def _index_shard(table: pa.Table) -> pa.Table:
@@ -186,52 +180,54 @@ def _index_shard(table: pa.Table) -> pa.Table:
                      "mins": pa.array(mins, pa.list_(pa.int64()))})
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, starts): windows of every text that a smaller doc_id has too.
+def repeated_windows(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id, _h, starts): windows of every text that a smaller doc_id has too.
 
-    Texts that wholly equal an earlier document's are left out (see first_holders).
-    Rows of one doc_id never count against each other.
+    ``texts`` is keyed(docs) without null doc_ids. Texts that wholly equal an earlier
+    document's are left out (see first_holders). Rows of one doc_id never count against
+    each other.
     """
-    spark = docs.sparkSession
-    shards = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     occ = occurrences(docs)
     shared = occ.groupBy("anchor").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("anchor")
-    leads = first_holders(docs).filter("doc_id = first_id").select("doc_id", "h").distinct()
+    leads = first_holders(docs).filter("doc_id = first_id").select(
+        "doc_id", "_h", F.xxhash64("doc_id", "_h").alias("doc")).distinct()
     spans = (
-        occ.join(shared, "anchor").groupBy("doc_id", "h")
-        .agg(F.collect_list(F.struct("anchor", "first", "last")).alias("spans"))        # no longer than the text
-        .join(leads, ["doc_id", "h"]))
+        occ.select("anchor", "doc", "span").join(shared, "anchor").groupBy("doc")
+        .agg(F.collect_list(F.struct("anchor", "span")).alias("spans"))         # no longer than the text
+        .join(leads, "doc").select("doc_id", "_h", "spans"))
 
     def cut(c):
-        out = {k: [] for k in ("doc_id", "h", "anchor", "first", "seg")}
-        for key, h, text, spans_ in zip(c["doc_id"], c["h"], c["text"], c["spans"]):
+        out = {k: [] for k in ("doc_id", "_h", "anchor", "first", "seg")}
+        for key, h, text, spans_ in zip(c["doc_id"], c["_h"], c["text"], c["spans"]):
             words = words_of(text)
             for s in spans_:
+                first, more = divmod(s["span"], 16)
                 out["doc_id"].append(key)
-                out["h"].append(h)
+                out["_h"].append(h)
                 out["anchor"].append(s["anchor"])
-                out["first"].append(s["first"])
-                out["seg"].append(b" ".join(words[s["first"]:s["last"] + WINDOW]).decode("utf-8", "surrogatepass"))
+                out["first"].append(first)
+                out["seg"].append(b" ".join(words[first:first + more + WINDOW]).decode("utf-8", "surrogatepass"))
         return out
 
-    cuts = arrow_map(keyed(docs).join(spans, ["doc_id", "h"]).select("doc_id", "h", "text", "spans"), cut,
-                     "doc_id long, h long, anchor long, first int, seg string")
+    cuts = arrow_map(texts.join(spans, ["doc_id", "_h"]).select("doc_id", "_h", "text", "spans"), cut,
+                     "doc_id long, _h long, anchor long, first int, seg string")
     distinct = cuts.groupBy("anchor", "seg").agg(F.min("doc_id").alias("doc"))
     minima = distinct.withColumn("shard", F.pmod("anchor", F.lit(shards))).groupBy("shard").applyInArrow(
         _index_shard, "anchor long, seg string, mins array<long>")
     key = F.unhex(F.md5("seg")).alias("seg_key")
-    found = cuts.select("doc_id", "h", "first", key).join(minima.select("mins", key), "seg_key")
+    found = cuts.select("doc_id", "_h", "first", key).join(minima.select("mins", key), "seg_key")
     starts = F.expr("filter(transform(mins, (m, i) -> if(m < doc_id, first + i, -1)), x -> x >= 0)")
     return (
-        found.select("doc_id", "h", starts.alias("starts")).filter("size(starts) > 0")
-        .groupBy("doc_id", "h").agg(F.flatten(F.collect_list("starts")).alias("starts")))  # no longer than the text
+        found.select("doc_id", "_h", starts.alias("starts")).filter("size(starts) > 0")
+        .groupBy("doc_id", "_h").agg(F.flatten(F.collect_list("starts")).alias("_starts")))  # no longer than the text
 
 
 def first_holders(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, first_id) with the least doc_id that has the very same text."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.unhex(F.md5("text")).alias("digest")).filter("doc_id is not null")
+    """(doc_id, _h, first_id) with the least doc_id that has the very same text."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("_h"), F.unhex(F.md5("text")).alias("digest")).filter("doc_id is not null")
     least = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    return rows.join(least, "digest").select("doc_id", "h", "first_id")
+    return rows.join(least, "digest").select("doc_id", "_h", "first_id")
 
 
 _KEPT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
@@ -265,12 +261,14 @@ def dedup(docs: DataFrame) -> DataFrame:
     don't remove each other's words. Empty table: no rows. A column of ``docs`` that is
     itself named dedup is replaced.
     """
-    copies = first_holders(docs).filter("first_id < doc_id").select(
-        F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.lit(True).alias("_copy")).distinct()
-    hits = repeated_windows(docs).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.col("starts").alias("_starts"))
-    rows = docs.withColumns({"_d": F.col("doc_id"), "_h": F.xxhash64("text")})
-    rows = rows.join(copies, ["_d", "_h"], "left").join(hits, ["_d", "_h"], "left")
-    return rows.withColumn("dedup", _keep("text", F.coalesce("_copy", F.lit(False)), "_starts")).drop("_d", "_h", "_copy", "_starts")
+    copies = first_holders(docs).filter("first_id < doc_id").select("doc_id", "_h", F.lit(True).alias("_copy")).distinct()
+    # both joins with the texts ask for the same rows in the same order, so they are shuffled once
+    texts = keyed(docs.filter("doc_id is not null"))
+    rows = texts.join(repeated_windows(docs, texts), ["doc_id", "_h"], "left").join(copies, ["doc_id", "_h"], "left")
+    alone = docs.filter("doc_id is null").withColumns(
+        {"_copy": F.lit(False), "_starts": F.lit(None).cast("array<int>")})
+    rows = rows.select(*docs.columns, "_copy", "_starts").unionByName(alone)
+    return rows.withColumn("dedup", _keep("text", F.coalesce("_copy", F.lit(False)), "_starts")).drop("_copy", "_starts")
 
 
 def digests(docs: DataFrame) -> DataFrame:
