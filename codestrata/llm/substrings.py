@@ -19,12 +19,15 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..session import materialize
 from .common import arrow_map, hash_texts, raw, shingle_hashes, words_of
 
 WINDOW = 13
 GRAM = 4
+FILTER_BITS = 1 << 27   # 16 MB
 UNIT = 400_000          # words that an index holds; only more words of one anchor make it larger
 
 
@@ -144,18 +147,27 @@ def anchors(h: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with _h, the hash of the text; (doc_id, _h) names a text."""
-    return docs.withColumn("_h", F.xxhash64("text"))
+    """``docs`` with _doc, a hash of doc_id and text, which names a text of a document."""
+    return docs.withColumn("_doc", F.xxhash64("doc_id", F.xxhash64("text")))
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
+def occurrences(docs: DataFrame, maybe=None) -> DataFrame:
     """(anchor, h, doc, span): anchors of every text with the windows they cover.
 
-    doc hashes doc_id and text; span is the first window times 16 and the number of further ones.
+    span is the first window times 16 and the number of further ones. ``maybe``: a
+    broadcast filter; anchors that it rules out are left out.
     """
     def run(c):
-        got = [anchors(h) for h in hash_texts([raw(t) for t in c["text"]])]
-        return {"h": c["h"], "doc": c["doc"], "anchor": [g[0] for g in got], "span": [g[1] * 16 + g[2] - g[1] for g in got]}
+        out = {"h": c["h"], "doc": c["doc"], "anchor": [], "span": []}
+        for h in hash_texts([raw(t) for t in c["text"]]):
+            anchor, first, last = anchors(h)
+            span = first * 16 + last - first
+            if maybe is not None:
+                ok = holds(maybe.value, anchor)
+                anchor, span = anchor[ok], span[ok]
+            out["anchor"].append(anchor)
+            out["span"].append(span)
+        return out
 
     rows = docs.filter("doc_id is not null").select(
         "text", F.xxhash64("text").alias("h"), F.xxhash64("doc_id", F.xxhash64("text")).alias("doc"))
@@ -163,10 +175,28 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return got.select("h", "doc", F.explode(F.arrays_zip("anchor", "span")).alias("z")).select("h", "doc", "z.anchor", "z.span")
 
 
+def bit_filter(keys: DataFrame, column: str) -> np.ndarray:
+    """FILTER_BITS bits, one of which each key sets: of fixed size, however many keys there are.
+
+    It only spares rows a shuffle that ends in an exact join; where it is full, it spares none.
+    """
+    bit = F.pmod(column, F.lit(FILTER_BITS))
+    words = keys.groupBy(F.call_function("shiftright", bit, F.lit(5)).alias("word")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, int(pmod({column}, 32)))")).alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 32, np.uint32)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
+    return out
+
+
+def holds(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys & (FILTER_BITS - 1)
+    return (bits[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
+
+
 def _index_shard(table: pa.Table) -> pa.Table:
     """Windows' least doc_ids of all segments of a shard, index by index."""
-    table = table.sort_by([("anchor", "ascending"), ("seg", "ascending")])
-    anchor, docs, texts = table["anchor"].to_numpy(), table["doc"].to_numpy(), table["seg"].to_pylist()
+    table = table.group_by(["anchor", "seg"]).aggregate([("doc", "min")]).sort_by([("anchor", "ascending"), ("seg", "ascending")])
+    anchor, docs, texts = table["anchor"].to_numpy(), table["doc_min"].to_numpy(), table["seg"].to_pylist()
     segments = [t.split(" ") for t in texts]
     starts = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else []
     total = np.cumsum([0, *map(len, segments)])
@@ -176,58 +206,71 @@ def _index_shard(table: pa.Table) -> pa.Table:
         if total[end] - total[begin] >= UNIT or end == len(segments):
             mins += window_minima(segments[begin:end], docs[begin:end])
             begin = end
-    return pa.table({"anchor": table["anchor"], "seg": table["seg"],
-                     "mins": pa.array(mins, pa.list_(pa.int64()))})
+    return pa.table({"seg_key": pa.array(map(_seg_key, texts), pa.binary()), "mins": pa.array(mins, pa.list_(pa.int64()))})
+
+
+def _seg_key(seg: str) -> bytes:
+    return xxhash.xxh3_128_digest(seg.encode("utf-8", "surrogatepass"))
+
+
+def _segments(words: list[bytes], spans: list[dict]):
+    for s in spans:
+        first, more = divmod(s["span"], 16)
+        yield s["anchor"], first, b" ".join(words[first:first + more + WINDOW]).decode("utf-8", "surrogatepass")
+
+
+def _cut_for_index(c: dict) -> dict:
+    """Segments of a few texts, each once, under the least doc_id among them."""
+    least: dict[tuple[int, str], int] = {}
+    for key, text, spans in zip(c["doc_id"], c["text"], c["spans"]):
+        for anchor, _, seg in _segments(words_of(text), spans):
+            least[anchor, seg] = min(key, least.get((anchor, seg), key))
+    return {"anchor": [a for a, _ in least], "seg": [s for _, s in least], "doc": list(least.values())}
+
+
+def _cut_for_answers(c: dict) -> dict:
+    out = {k: [] for k in ("doc", "doc_id", "first", "seg_key")}
+    for doc, key, text, spans in zip(c["_doc"], c["doc_id"], c["text"], c["spans"]):
+        for _, first, seg in _segments(words_of(text), spans):
+            for k, v in zip(out, (doc, key, first, _seg_key(seg))):
+                out[k].append(v)
+    return out
 
 
 def repeated_windows(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(doc_id, _h, starts): windows of every text that a smaller doc_id has too.
+    """(_doc, _starts): windows of every text that a smaller doc_id has too.
 
     ``texts`` is keyed(docs) without null doc_ids. Texts that wholly equal an earlier
     document's are left out (see first_holders). Rows of one doc_id never count against
     each other.
     """
-    shards = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    occ = occurrences(docs)
-    shared = occ.groupBy("anchor").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("anchor")
-    leads = first_holders(docs).filter("doc_id = first_id").select(
-        "doc_id", "_h", F.xxhash64("doc_id", "_h").alias("doc")).distinct()
+    spark = docs.sparkSession
+    shards = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shared = materialize(occurrences(docs).groupBy("anchor").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
+                         .filter("lo <> hi").select("anchor"), "shared-anchors")
+    maybe = spark.sparkContext.broadcast(bit_filter(shared, "anchor"))
+    leads = first_holders(docs).filter("doc_id = first_id").select("_doc").distinct()
     spans = (
-        occ.select("anchor", "doc", "span").join(shared, "anchor").groupBy("doc")
+        occurrences(docs, maybe).select("anchor", "doc", "span").join(shared, "anchor").groupBy(F.col("doc").alias("_doc"))
         .agg(F.collect_list(F.struct("anchor", "span")).alias("spans"))         # no longer than the text
-        .join(leads, "doc").select("doc_id", "_h", "spans"))
-
-    def cut(c):
-        out = {k: [] for k in ("doc_id", "_h", "anchor", "first", "seg")}
-        for key, h, text, spans_ in zip(c["doc_id"], c["_h"], c["text"], c["spans"]):
-            words = words_of(text)
-            for s in spans_:
-                first, more = divmod(s["span"], 16)
-                out["doc_id"].append(key)
-                out["_h"].append(h)
-                out["anchor"].append(s["anchor"])
-                out["first"].append(first)
-                out["seg"].append(b" ".join(words[first:first + more + WINDOW]).decode("utf-8", "surrogatepass"))
-        return out
-
-    cuts = arrow_map(texts.join(spans, ["doc_id", "_h"]).select("doc_id", "_h", "text", "spans"), cut,
-                     "doc_id long, _h long, anchor long, first int, seg string")
-    distinct = cuts.groupBy("anchor", "seg").agg(F.min("doc_id").alias("doc"))
-    minima = distinct.withColumn("shard", F.pmod("anchor", F.lit(shards))).groupBy("shard").applyInArrow(
-        _index_shard, "anchor long, seg string, mins array<long>")
-    key = F.unhex(F.md5("seg")).alias("seg_key")
-    found = cuts.select("doc_id", "_h", "first", key).join(minima.select("mins", key), "seg_key")
+        .join(leads, "_doc", "left_semi"))
+    chosen = texts.join(spans, "_doc").select("_doc", "doc_id", "text", "spans")
+    minima = (
+        arrow_map(chosen, _cut_for_index, "anchor long, seg string, doc long")
+        .withColumn("shard", F.pmod("anchor", F.lit(shards))).groupBy("shard")
+        .applyInArrow(_index_shard, "seg_key binary, mins array<long>"))
+    asked = arrow_map(chosen, _cut_for_answers, "doc long, doc_id long, first int, seg_key binary")
     starts = F.expr("filter(transform(mins, (m, i) -> if(m < doc_id, first + i, -1)), x -> x >= 0)")
     return (
-        found.select("doc_id", "_h", starts.alias("starts")).filter("size(starts) > 0")
-        .groupBy("doc_id", "_h").agg(F.flatten(F.collect_list("starts")).alias("_starts")))  # no longer than the text
+        asked.join(minima, "seg_key").select(F.col("doc").alias("_doc"), starts.alias("starts")).filter("size(starts) > 0")
+        .groupBy("_doc").agg(F.flatten(F.collect_list("starts")).alias("_starts")))         # no longer than the text
 
 
 def first_holders(docs: DataFrame) -> DataFrame:
-    """(doc_id, _h, first_id) with the least doc_id that has the very same text."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("_h"), F.unhex(F.md5("text")).alias("digest")).filter("doc_id is not null")
+    """(doc_id, _doc, first_id) with the least doc_id that has the very same text."""
+    rows = keyed(docs.filter("doc_id is not null")).select("doc_id", "_doc", F.unhex(F.md5("text")).alias("digest"))
     least = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    return rows.join(least, "digest").select("doc_id", "_h", "first_id")
+    return rows.join(least, "digest").select("doc_id", "_doc", "first_id")
 
 
 _KEPT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
@@ -261,10 +304,10 @@ def dedup(docs: DataFrame) -> DataFrame:
     don't remove each other's words. Empty table: no rows. A column of ``docs`` that is
     itself named dedup is replaced.
     """
-    copies = first_holders(docs).filter("first_id < doc_id").select("doc_id", "_h", F.lit(True).alias("_copy")).distinct()
+    copies = first_holders(docs).filter("first_id < doc_id").select("_doc", F.lit(True).alias("_copy")).distinct()
     # both joins with the texts ask for the same rows in the same order, so they are shuffled once
     texts = keyed(docs.filter("doc_id is not null"))
-    rows = texts.join(repeated_windows(docs, texts), ["doc_id", "_h"], "left").join(copies, ["doc_id", "_h"], "left")
+    rows = texts.join(repeated_windows(docs, texts), "_doc", "left").join(copies, "_doc", "left")
     alone = docs.filter("doc_id is null").withColumns(
         {"_copy": F.lit(False), "_starts": F.lit(None).cast("array<int>")})
     rows = rows.select(*docs.columns, "_copy", "_starts").unionByName(alone)
