@@ -5,16 +5,17 @@ the start. A set that reaches the threshold with another one misses few of its o
 tokens there; so in any fixed sample of its tokens most must be found in some other set
 as well, and sets for which that fails leave early. For the others:
 
-* Similar sets are put into blocks, by their least token. Within a block all links are
-  found, and every component in it becomes a group with the union of its tokens.
-* The matrix has a row for each token and group. A set asks it for its rarest tokens,
-  as many as it may miss and one more, and so gets every group that can hold a partner.
+* Similar sets are put into groups of some BLOCK, by their least token, and all links
+  within a group are found.
+* The matrix has a row for each token and group whose union holds it. A set asks it for
+  its rarest tokens, as many as it may miss and one more, and so gets every group that
+  can hold a partner in another component.
 * The set is sent to these groups. Where its overlap with the group's union, which
   bounds that with every member, is large enough, the group is opened and its members
   are compared.
 
-A group's own component is never asked, so a family of near copies costs one row for
-each set and block, not one for each pair. Components are joined over the links found.
+So a family of near copies costs one row for each set outside its main component and
+group, not one for each pair. Components are joined over the links found.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
-from .common import arrow_map, hash_texts, raw, shingle_hashes
+from .common import arrow_map, bit_filter, hash_texts, holds, raw, shingle_hashes
 from .graphs import components
 
 BLOCK = 200             # sets in a block, about
@@ -56,14 +57,23 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
     return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n long, digest binary")
 
 
-def samples(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, digest, least, token): a fixed sample of every set; ``least`` of them must occur elsewhere."""
+def samples(docs: DataFrame, width: int, percent: int, maybe=None) -> DataFrame:
+    """(doc_id, d, least, token): a fixed sample of every set; ``least`` of them must occur elsewhere.
+
+    ``maybe``: a broadcast filter; tokens that it rules out are left out, and so are sets
+    with fewer than ``least`` others.
+    """
     def run(c):
         out = {k: [] for k in ("doc_id", "digest", "least", "tokens")}
         for key, s in zip(c["doc_id"], token_sets(c["text"], width)):
             missing = len(s) - need(len(s), percent)
             took = s[:min(len(s), missing + 1 + len(s) * SAMPLE // 100)]
-            for k, v in zip(out, (key, _digest(s), len(took) - missing, took)):
+            least = len(took) - missing
+            if maybe is not None:
+                took = took[holds(maybe.value, took)]
+                if len(took) < least:
+                    continue
+            for k, v in zip(out, (key, _digest(s), least, took)):
                 out[k].append(v)
         return out
 
@@ -74,16 +84,14 @@ def samples(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 def candidates(docs: DataFrame, leaders: DataFrame, width: int, percent: int) -> DataFrame:
     """(doc_id, d) of the sets that may have a partner of another content."""
-    rows = samples(docs, width, percent)
-    shared = rows.groupBy("token").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).filter("lo <> hi").select("token")
-    found = rows.join(shared, "token").groupBy("doc_id", "d").agg(F.count(F.lit(1)).alias("hits"), F.first("least").alias("least"))
+    shared = materialize(
+        samples(docs, width, percent).groupBy("token").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+        .filter("lo <> hi").select("token"), "shared-tokens")
+    maybe = docs.sparkSession.sparkContext.broadcast(bit_filter(shared, "token"))
+    found = samples(docs, width, percent, maybe).join(shared, "token").groupBy("doc_id", "d").agg(F.count(F.lit(1)).alias("hits"), F.first("least").alias("least"))
     return found.filter("hits >= least").select("doc_id", "d").join(leaders, ["doc_id", "d"], "left_semi")
 
 
-def linked(n: np.ndarray, m: int, both: np.ndarray, percent: int) -> np.ndarray:
-    return 100 * both >= percent * (n + m - both)
-
-
 def link_block(docs: list[int], sets: list[np.ndarray], percent: int) -> np.ndarray:
     """Component of every set of a block, named by the least doc_id in it."""
     k = len(sets)
@@ -157,23 +165,24 @@ def group_blocks(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def cross_links(grouped: DataFrame, percent: int) -> DataFrame:
-    """(u, v): components of different blocks that a link joins."""
-    matrix = grouped.select("key", "part", "cid", F.explode("tokens").alias("token")).distinct()
+    """(u, v): components of different groups that links join; enough of them, not all."""
+    matrix = grouped.select("key", "part", "cid", F.explode("tokens").alias("token")).groupBy("token", "key", "part").agg(
+        F.min("cid").alias("lo"), F.max("cid").alias("hi"))
     rare = matrix.groupBy("token").agg(
-        F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count(F.lit(1)).alias("groups")).filter("lo <> hi").select("token", "groups")
+        F.min("lo").alias("least"), F.max("hi").alias("most"), F.count(F.lit(1)).alias("groups")
+    ).filter("least <> most and groups > 1").select("token", "groups")
     shared = materialize(matrix.join(rare, "token"), "token-groups")
-    by_group = shared.groupBy("key", "part", "cid").agg(
+    by_group = shared.groupBy("key", "part").agg(
         F.collect_list("token").alias("asked"), F.collect_list("groups").alias("groups"))   # no longer than a group's union
-    # a set's tokens that other components have too, rarest first; the rest it misses anywhere
-    held = (
-        grouped.join(by_group, ["key", "part", "cid"])
-        .select("doc_id", "cid", "key", "part", "tokens", "asked", "groups"))
+    held = grouped.join(by_group, ["key", "part"]).select("doc_id", "cid", "key", "part", "tokens", "asked", "groups")
 
     def probe(batches):
+        """A set's tokens that other groups have too, rarest first; the rest it misses anywhere."""
         for batch in batches:
-            rows = zip(batch["doc_id"].to_pylist(), batch["cid"].to_pylist(), _sets(batch["tokens"]), _sets(batch["asked"]), _sets(batch["groups"]))
-            out = {k: [] for k in ("doc_id", "cid", "token")}
-            for doc, cid, tokens, asked, groups in rows:
+            rows = zip(*(batch[n].to_pylist() for n in ("doc_id", "cid", "key", "part")),
+                       *(_sets(batch[n]) for n in ("tokens", "asked", "groups")))
+            out = {k: [] for k in ("doc_id", "cid", "key", "part", "token")}
+            for doc, cid, key, part, tokens, asked, groups in rows:
                 order = np.argsort(asked)
                 asked, groups = asked[order], groups[order]
                 at = np.searchsorted(asked, tokens)
@@ -184,51 +193,56 @@ def cross_links(grouped: DataFrame, percent: int) -> DataFrame:
                 if len(known) < least:
                     continue
                 took = known[np.lexsort((known, n))[:len(known) - least + 1]]
-                out["doc_id"] += [doc] * len(took)
-                out["cid"] += [cid] * len(took)
+                for k, v in zip(out, (doc, cid, key, part)):
+                    out[k] += [v] * len(took)
                 out["token"] += took.tolist()
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out.values()], names=list(out))
 
-    probes = held.mapInArrow(probe, "doc_id long, cid long, token long")
-    targets = shared.select("token", "key", "part", F.col("cid").alias("other"))
-    # a linked pair finds itself from either side, so one side may ask for both
+    probes = held.mapInArrow(probe, "doc_id long, cid long, key long, part long, token long")
+    targets = shared.select("token", F.col("key").alias("to_key"), F.col("part").alias("to_part"), "lo")
+    # a linked pair finds itself from either side, so the side of the larger name asks
     asks = (
-        probes.join(targets, "token").filter(F.col("cid") > F.col("other"))
-        .groupBy("doc_id", "cid", "key", "part", "other").agg(F.lit(1).alias("one")).drop("one"))
+        probes.join(targets, "token").filter("lo < cid and (key <> to_key or part <> to_part)")
+        .groupBy("doc_id", "to_key", "to_part").agg(F.first("cid").alias("cid")))
     queries = asks.join(grouped.select("doc_id", "tokens"), "doc_id").select(
-        "key", "part", "other", "doc_id", "cid", "tokens")
+        F.col("to_key").alias("key"), F.col("to_part").alias("part"), "cid", "tokens")
 
     def open_groups(left: pa.Table, right: pa.Table) -> pa.Table:
         u, v = [], []
         if left.num_rows and right.num_rows:
-            members = _sets(left["tokens"])
+            members, names = _sets(left["tokens"]), left["cid"].to_numpy()
             sizes = np.array([len(s) for s in members])
             flat = np.concatenate(members)
             order = np.argsort(flat, kind="stable")
             flat, owner = flat[order], np.repeat(np.arange(len(members)), sizes)[order]
             union = np.unique(flat)
-            other, done = right["other"][0].as_py(), set()
-            for cid, q in sorted(zip(right["cid"].to_pylist(), _sets(right["tokens"])), key=lambda r: r[0]):
-                # a component that is joined already need not be compared again
-                if cid in done:
-                    continue
+            root: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while root.get(x, x) != x:
+                    x = root[x]
+                return x
+
+            for cid, q in zip(right["cid"].to_pylist(), _sets(right["tokens"])):
                 at = np.searchsorted(union, q)
                 at[at == len(union)] = 0
                 if (union[at] == q).sum() < need(len(q), percent):
                     continue
                 lo, hi = np.searchsorted(flat, q, "left"), np.searchsorted(flat, q, "right")
                 n = hi - lo
-                take = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                take = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 both = np.bincount(owner[take], minlength=len(members))
-                if linked(sizes, len(q), both, percent).any():
-                    done.add(cid)
-                    u.append(cid)
-                    v.append(other)
+                near = (100 * both >= percent * (sizes + len(q) - both)) & (names < cid)
+                for other in np.unique(names[near]).tolist():
+                    a, b = find(cid), find(other)
+                    if a != b:
+                        root[max(a, b)] = min(a, b)
+                        u.append(cid)
+                        v.append(other)
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    members = grouped.select("key", "part", F.col("cid").alias("other"), "tokens")
-    return members.groupBy("key", "part", "other").cogroup(queries.groupBy("key", "part", "other")).applyInArrow(
-        open_groups, "u long, v long")
+    members = grouped.select("key", "part", "cid", "tokens")
+    return members.groupBy("key", "part").cogroup(queries.groupBy("key", "part")).applyInArrow(open_groups, "u long, v long")
 
 
 def join_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -23,11 +23,10 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..session import materialize
-from .common import arrow_map, hash_texts, raw, shingle_hashes, words_of
+from .common import arrow_map, bit_filter, hash_texts, holds, raw, shingle_hashes, words_of
 
 WINDOW = 13
 GRAM = 4
-FILTER_BITS = 1 << 27   # 16 MB
 UNIT = 400_000          # words that an index holds; only more words of one anchor make it larger
 
 
@@ -175,24 +174,6 @@ def occurrences(docs: DataFrame, maybe=None) -> DataFrame:
     return got.select("h", "doc", F.explode(F.arrays_zip("anchor", "span")).alias("z")).select("h", "doc", "z.anchor", "z.span")
 
 
-def bit_filter(keys: DataFrame, column: str) -> np.ndarray:
-    """FILTER_BITS bits, one of which each key sets: of fixed size, however many keys there are.
-
-    It only spares rows a shuffle that ends in an exact join; where it is full, it spares none.
-    """
-    bit = F.pmod(column, F.lit(FILTER_BITS))
-    words = keys.groupBy(F.call_function("shiftright", bit, F.lit(5)).alias("word")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, int(pmod({column}, 32)))")).alias("bits")).toArrow()
-    out = np.zeros(FILTER_BITS // 32, np.uint32)
-    out[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
-    return out
-
-
-def holds(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys & (FILTER_BITS - 1)
-    return (bits[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
-
-
 def _index_shard(table: pa.Table) -> pa.Table:
     """Windows' least doc_ids of all segments of a shard, index by index."""
     table = table.group_by(["anchor", "seg"]).aggregate([("doc", "min")]).sort_by([("anchor", "ascending"), ("seg", "ascending")])
