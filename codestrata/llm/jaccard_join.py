@@ -58,13 +58,13 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
 
 
 def samples(docs: DataFrame, width: int, percent: int, maybe=None) -> DataFrame:
-    """(doc_id, d, least, token): a fixed sample of every set; ``least`` of them must occur elsewhere.
+    """(doc_id, d, key, least, token): a fixed sample of every set; ``least`` of them must occur elsewhere.
 
-    ``maybe``: a broadcast filter; tokens that it rules out are left out, and so are sets
+    key is the set's least token. ``maybe``: a broadcast filter; tokens that it rules out are left out, and so are sets
     with fewer than ``least`` others.
     """
     def run(c):
-        out = {k: [] for k in ("doc_id", "digest", "least", "tokens")}
+        out = {k: [] for k in ("doc_id", "digest", "key", "least", "tokens")}
         for key, s in zip(c["doc_id"], token_sets(c["text"], width)):
             missing = len(s) - need(len(s), percent)
             took = s[:min(len(s), missing + 1 + len(s) * SAMPLE // 100)]
@@ -73,23 +73,24 @@ def samples(docs: DataFrame, width: int, percent: int, maybe=None) -> DataFrame:
                 took = took[holds(maybe.value, took)]
                 if len(took) < least:
                     continue
-            for k, v in zip(out, (key, _digest(s), least, took)):
+            for k, v in zip(out, (key, _digest(s), int(s[0]) if len(s) else None, least, took)):
                 out[k].append(v)
         return out
 
     rows = arrow_map(docs.select("doc_id", "text").filter("doc_id is not null"), run,
-                     "doc_id long, digest binary, least int, tokens array<long>")
-    return rows.select("doc_id", F.xxhash64("digest").alias("d"), "least", F.explode("tokens").alias("token"))
+                     "doc_id long, digest binary, key long, least int, tokens array<long>")
+    return rows.select("doc_id", F.xxhash64("digest").alias("d"), "key", "least", F.explode("tokens").alias("token"))
 
 
 def candidates(docs: DataFrame, leaders: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, d) of the sets that may have a partner of another content."""
+    """(doc_id, d, key) of the sets that may have a partner of another content."""
     shared = materialize(
         samples(docs, width, percent).groupBy("token").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
         .filter("lo <> hi").select("token"), "shared-tokens")
     maybe = docs.sparkSession.sparkContext.broadcast(bit_filter(shared, "token"))
-    found = samples(docs, width, percent, maybe).join(shared, "token").groupBy("doc_id", "d").agg(F.count(F.lit(1)).alias("hits"), F.first("least").alias("least"))
-    return found.filter("hits >= least").select("doc_id", "d").join(leaders, ["doc_id", "d"], "left_semi")
+    found = samples(docs, width, percent, maybe).join(shared, "token").groupBy("doc_id", "d").agg(
+        F.count(F.lit(1)).alias("hits"), F.first("least").alias("least"), F.first("key").alias("key"))
+    return found.filter("hits >= least").select("doc_id", "d", "key").join(leaders, ["doc_id", "d"], "left_semi")
 
 
 def link_block(docs: list[int], sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -136,45 +137,78 @@ def _sets(column) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(at[:-1], at[1:])]
 
 
-def blocks(sets: DataFrame) -> DataFrame:
-    """``sets`` with key, block and lead: sets of one least token, some BLOCK to a block.
+def places(chosen: DataFrame) -> DataFrame:
+    """``chosen`` with key, part and lead: sets of one least token, some BLOCK to a group.
 
-    The key's first set is in all its blocks (lead = true in all but its own), so that
+    The key's first set is in all its groups (lead = true in all but its own), so that
     components which hold it get one name throughout.
     """
-    keyed = sets.withColumn("key", F.col("tokens")[0])
-    sizes = keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    dealt = keyed.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    own = dealt.select("doc_id", "tokens", "key", "part", F.lit(False).alias("lead"))
-    spread = dealt.filter("doc_id = first and parts > 1").select(
-        "doc_id", "tokens", "key", F.col("part").alias("home"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    leads = spread.filter("part <> home").select("doc_id", "tokens", "key", "part", F.lit(True).alias("lead"))
-    return own.unionByName(leads)
-
-
-def group_blocks(sets: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, cid, key, part, tokens): every set with its component within its block."""
+    sizes = chosen.groupBy("key").agg(F.min("doc_id").alias("first"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    home = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
+    every = F.when(F.col("doc_id") == F.col("first"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(home))
+    dealt = chosen.join(sizes, "key").select("doc_id", "d", "key", home.alias("home"), F.explode(every).alias("part"))
+    return dealt.select("doc_id", "d", "key", "part", (F.col("part") != F.col("home")).alias("lead"))
+
+
+def group_sets(sets: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, cid, key, part, tokens, matrix, lo, hi): every set with its component within its group.
+
+    One row of each group also has the group's row of the matrix: the union of its
+    tokens, each with the least and the greatest component that has it.
+    """
     def run(table: pa.Table) -> pa.Table:
-        docs, tokens, lead = table["doc_id"].to_pylist(), _sets(table["tokens"]), np.array(table["lead"].to_pylist())
-        cid = link_block(docs, tokens, percent) if len(docs) > 1 else np.array(docs, np.int64)
-        out = table.append_column("cid", pa.array(cid, pa.int64())).filter(pa.array(~lead))
-        return out.select(["doc_id", "cid", "key", "part", "tokens"])
+        table = table.sort_by("doc_id")
+        docs, lead = table["doc_id"].to_pylist(), np.array(table["lead"].to_pylist())
+        cid = link_block(docs, _sets(table["tokens"]), percent) if len(docs) > 1 else np.array(docs, np.int64)
+        out = table.append_column("cid", pa.array(cid, pa.int64())).filter(pa.array(~lead)).select(
+            ["doc_id", "cid", "key", "part", "tokens"])
+        if not out.num_rows:
+            return out.append_column("matrix", out["tokens"]).append_column("lo", out["tokens"]).append_column("hi", out["tokens"])
+        own = _sets(out["tokens"])
+        flat, names = np.concatenate(own), np.repeat(out["cid"].to_numpy(), [len(s) for s in own])
+        order = np.lexsort((names, flat))
+        flat, names = flat[order], names[order]
+        first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+        last = np.append(first[1:], len(flat)) - 1
+        for name, v in (("matrix", flat[first]), ("lo", names[first]), ("hi", names[last])):
+            out = out.append_column(name, pa.array([v] + [None] * (out.num_rows - 1), pa.list_(pa.int64())))
+        return out
+
+    return sets.groupBy("key", "part").applyInArrow(
+        run, "doc_id long, cid long, key long, part int, tokens array<long>, matrix array<long>, lo array<long>, hi array<long>")
 
-    return blocks(sets).groupBy("key", "part").applyInArrow(
-        run, "doc_id long, cid long, key long, part int, tokens array<long>")
+
+def narrowed(rows: DataFrame, maybe, column: str = "id") -> DataFrame:
+    """Rows whose hash ``column`` a broadcast filter doesn't rule out; spares a shuffle, decides nothing."""
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(holds(maybe.value, batch[column].to_numpy())))
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def cross_links(grouped: DataFrame, percent: int) -> DataFrame:
     """(u, v): components of different groups that links join; enough of them, not all."""
-    matrix = grouped.select("key", "part", "cid", F.explode("tokens").alias("token")).groupBy("token", "key", "part").agg(
-        F.min("cid").alias("lo"), F.max("cid").alias("hi"))
+    share = grouped.sparkSession.sparkContext.broadcast
+    matrix = grouped.filter("matrix is not null").select("key", "part", F.explode(F.arrays_zip("matrix", "lo", "hi")).alias("m")).select(
+        F.col("m.matrix").alias("token"), "key", "part", "m.lo", "m.hi")
     rare = matrix.groupBy("token").agg(
         F.min("lo").alias("least"), F.max("hi").alias("most"), F.count(F.lit(1)).alias("groups")
     ).filter("least <> most and groups > 1").select("token", "groups")
-    shared = materialize(matrix.join(rare, "token"), "token-groups")
+    rare = materialize(rare, "shared-tokens")
+    common = share(bit_filter(rare, "token"))
+    shared = materialize(narrowed(matrix, common, "token").join(rare, "token"), "token-groups")
     by_group = shared.groupBy("key", "part").agg(
         F.collect_list("token").alias("asked"), F.collect_list("groups").alias("groups"))   # no longer than a group's union
-    held = grouped.join(by_group, ["key", "part"]).select("doc_id", "cid", "key", "part", "tokens", "asked", "groups")
+
+    def may_ask(batches):
+        for batch in batches:
+            ok = [int(holds(common.value, t).sum()) >= need(len(t), percent) for t in _sets(batch["tokens"])]
+            yield batch.filter(pa.array(ok, pa.bool_()))
+
+    sets = grouped.select("doc_id", "cid", "key", "part", "tokens")
+    held = sets.mapInArrow(may_ask, sets.schema).join(by_group, ["key", "part"]).select(
+        "doc_id", "cid", "key", "part", "tokens", "asked", "groups")
 
     def probe(batches):
         """A set's tokens that other groups have too, rarest first; the rest it misses anywhere."""
@@ -201,11 +235,13 @@ def cross_links(grouped: DataFrame, percent: int) -> DataFrame:
     probes = held.mapInArrow(probe, "doc_id long, cid long, key long, part long, token long")
     targets = shared.select("token", F.col("key").alias("to_key"), F.col("part").alias("to_part"), "lo")
     # a linked pair finds itself from either side, so the side of the larger name asks
-    asks = (
+    asks = materialize(
         probes.join(targets, "token").filter("lo < cid and (key <> to_key or part <> to_part)")
-        .groupBy("doc_id", "to_key", "to_part").agg(F.first("cid").alias("cid")))
-    queries = asks.join(grouped.select("doc_id", "tokens"), "doc_id").select(
-        F.col("to_key").alias("key"), F.col("to_part").alias("part"), "cid", "tokens")
+        .groupBy("doc_id", "to_key", "to_part").agg(F.first("cid").alias("cid")), "asked-groups")
+    askers = share(bit_filter(asks.select(F.xxhash64("doc_id").alias("id")), "id"))
+    opened = share(bit_filter(asks.select(F.xxhash64("to_key", F.col("to_part").cast("int")).alias("id")), "id"))
+    queries = asks.join(narrowed(grouped.select("doc_id", "tokens", F.xxhash64("doc_id").alias("id")), askers), "doc_id").select(
+        F.col("to_key").alias("key"), F.col("to_part").cast("int").alias("part"), "cid", "tokens")
 
     def open_groups(left: pa.Table, right: pa.Table) -> pa.Table:
         u, v = [], []
@@ -241,7 +277,7 @@ def cross_links(grouped: DataFrame, percent: int) -> DataFrame:
                         v.append(other)
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    members = grouped.select("key", "part", "cid", "tokens")
+    members = narrowed(grouped.select("key", "part", "cid", "tokens", F.xxhash64("key", "part").alias("id")), opened).drop("id")
     return members.groupBy("key", "part").cogroup(queries.groupBy("key", "part")).applyInArrow(open_groups, "u long, v long")
 
 
@@ -259,15 +295,17 @@ def join_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     leads = full.groupBy("digest", "d").agg(F.min("doc_id").alias("lead"))
     leaders = leads.select(F.col("lead").alias("doc_id"), "d")
 
+    placed = materialize(places(materialize(candidates(docs, leaders, width, percent), "set-candidates")), "set-places")
+    texts = docs.select("doc_id", "text").join(placed, "doc_id")
+
     def whole(c):
         sets = token_sets(c["text"], width)
-        return {"doc_id": c["doc_id"], "digest": [_digest(s) for s in sets], "tokens": sets}
+        return {"digest": [_digest(s) for s in sets], "tokens": sets} | {k: c[k] for k in ("doc_id", "d", "key", "part", "lead")}
 
-    chosen = materialize(candidates(docs, leaders, width, percent), "set-candidates")
-    texts = docs.select("doc_id", "text").join(chosen.select("doc_id").distinct(), "doc_id")
-    sets = arrow_map(texts, whole, "doc_id long, digest binary, tokens array<long>").withColumn("d", F.xxhash64("digest"))
-    sets = sets.join(chosen, ["doc_id", "d"], "left_semi").select("doc_id", "tokens").distinct()
-    grouped = materialize(group_blocks(sets, percent), "set-groups")
+    sets = arrow_map(texts, whole, "doc_id long, d long, key long, part int, lead boolean, digest binary, tokens array<long>")
+    # a doc_id may have rows with other texts
+    sets = sets.filter(F.xxhash64("digest") == F.col("d")).select("doc_id", "key", "part", "lead", "tokens")
+    grouped = materialize(group_sets(sets, percent), "set-groups")
     inner = grouped.select(F.col("doc_id").alias("u"), F.col("cid").alias("v"))
     # rows of one doc_id, and its copies of other sets, meet in their doc_id
     found = components(inner.unionByName(cross_links(grouped, percent)).unionByName(
