@@ -29,7 +29,7 @@ from ..session import materialize
 from .common import arrow_map, bit_filter, hash_texts, holds, raw, shingle_hashes
 from .graphs import components
 
-BLOCK = 200             # sets in a block, about
+BLOCK = 400             # sets in a block, about
 SAMPLE = 5              # a set's sample is as many tokens as it may miss, one, and so many percent of all
 
 
@@ -232,12 +232,17 @@ def cross_links(grouped: DataFrame, percent: int) -> DataFrame:
                 out["token"] += took.tolist()
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out.values()], names=list(out))
 
-    probes = held.mapInArrow(probe, "doc_id long, cid long, key long, part long, token long")
+    probes = materialize(held.mapInArrow(probe, "doc_id long, cid long, key long, part long, token long"), "set-probes")
     targets = shared.select("token", F.col("key").alias("to_key"), F.col("part").alias("to_part"), "lo")
-    # a linked pair finds itself from either side, so the side of the larger name asks
+    # Sets of one group ask together. A linked pair finds itself from either side, so the
+    # side of the larger name asks.
+    pairs = (
+        probes.groupBy("key", "part", "token").agg(F.max("cid").alias("cid")).join(targets, "token")
+        .filter("lo < cid and (key <> to_key or part <> to_part)")
+        .groupBy("key", "part", "to_key", "to_part").agg(F.min("lo").alias("lo")))
     asks = materialize(
-        probes.join(targets, "token").filter("lo < cid and (key <> to_key or part <> to_part)")
-        .groupBy("doc_id", "to_key", "to_part").agg(F.first("cid").alias("cid")), "asked-groups")
+        probes.select("doc_id", "cid", "key", "part").distinct().join(pairs, ["key", "part"]).filter("lo < cid")
+        .select("doc_id", "cid", "to_key", "to_part"), "asked-groups")
     askers = share(bit_filter(asks.select(F.xxhash64("doc_id").alias("id")), "id"))
     opened = share(bit_filter(asks.select(F.xxhash64("to_key", F.col("to_part").cast("int")).alias("id")), "id"))
     queries = asks.join(narrowed(grouped.select("doc_id", "tokens", F.xxhash64("doc_id").alias("id")), askers), "doc_id").select(
@@ -296,7 +301,7 @@ def join_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     leaders = leads.select(F.col("lead").alias("doc_id"), "d")
 
     placed = materialize(places(materialize(candidates(docs, leaders, width, percent), "set-candidates")), "set-places")
-    texts = docs.select("doc_id", "text").join(placed, "doc_id")
+    texts = docs.select("doc_id", "text").join(placed.hint("merge"), "doc_id")     # the same at every size
 
     def whole(c):
         sets = token_sets(c["text"], width)
