@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import arrow_map
 
 END = "</w>"
-CACHED = 250_000        # words whose path a worker remembers, twice over
-SEAMS = 2_000_000       # filled entries of the product table that a worker remembers
+CACHED = 120_000        # words whose path a worker remembers, twice over
+SEAMS = 300_000         # filled entries of the product table that a worker remembers
 
 
 def byte_symbols() -> list[str]:
