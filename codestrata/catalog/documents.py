@@ -113,4 +113,4 @@ def duplicate_totals(spark, sf_dir):
     report = dup.duplicate_report(document_files(spark, sf_dir))
     sides = report.select(F.explode(F.array("file1", "file2")).alias("file"), F.lit(0).alias("pair"))
     counted = report.select(F.lit(None).cast("long").alias("file"), F.lit(1).alias("pair")).unionByName(sides)
-    return counted.agg(F.count("pair").alias("pairs"), F.countDistinct("file").alias("files"))
+    return counted.agg(F.coalesce(F.sum("pair"), F.lit(0)).cast("long").alias("pairs"), F.countDistinct("file").alias("files"))
