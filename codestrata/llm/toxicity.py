@@ -93,16 +93,29 @@ class Reader:
             got = self.known[word] = mask << 4 * BITS | at[0] << 3 * BITS | at[1] << 2 * BITS | at[2] << BITS | at[3]
         return got
 
-    def read(self, text: str | None) -> tuple[int, np.ndarray, np.ndarray]:
-        """(votes, positions, values)."""
+    def _packed(self, text: str | None) -> tuple[int, np.ndarray]:
+        """Votes, and the packed number of every word."""
         words = (text or "").lower().split()
         packed = np.fromiter(map(self.word, words), np.int64, len(words))
-        masks = packed >> 4 * BITS
-        votes = int(np.bitwise_or.reduce(masks)) if len(words) else 0
-        hits = int((masks != 0).sum())
-        votes |= (hits >= 3) << VOTERS - 2 | (hits * 60 >= len(words) > 0) << VOTERS - 1
+        marked = packed[packed >> 4 * BITS != 0]
+        votes = int(np.bitwise_or.reduce(marked >> 4 * BITS)) if len(marked) else 0
+        hits = len(marked)
+        return votes | (hits >= 3) << VOTERS - 2 | (hits * 60 >= len(words) > 0) << VOTERS - 1, packed
+
+    def votes(self, text: str | None) -> int:
+        return self._packed(text)[0]
+
+    def read(self, text: str | None) -> tuple[int, np.ndarray, np.ndarray]:
+        """(votes, positions, values)."""
+        votes, packed = self._packed(text)
         at = np.concatenate([packed >> i * BITS for i in range(4)]) & (WIDTH - 1)
-        at, n = np.unique(at[at > 0], return_counts=True)
+        if len(at) > WIDTH // 4:
+            counts = np.bincount(at, minlength=WIDTH)       # cheaper than a sort of many positions
+            counts[0] = 0
+            at = np.flatnonzero(counts)
+            n = counts[at]
+        else:
+            at, n = np.unique(at[at > 0], return_counts=True)
         x = np.log1p(n)
         x = x / np.sqrt(x @ x) if len(x) else x
         # the votes themselves are inputs 1 to VOTERS
@@ -203,7 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "toxic"
     held = _share(spark, mined)
 
     def vote(c):
-        return {"doc_id": c["doc_id"], "votes": [_reader(held).read(t)[0] for t in c["text"]]}
+        return {"doc_id": c["doc_id"], "votes": [_reader(held).votes(t) for t in c["text"]]}
 
     own = docs.filter(keep & F.col("doc_id").isNotNull()).select("doc_id", "text")
     voted = materialize(arrow_map(own, vote, "doc_id long, votes int"), "toxic-votes")
