@@ -75,6 +75,11 @@ class Automaton:
         self.before: dict[str, tuple[bytes, str]] = {}
         self.symbols = dict(enumerate(byte_symbols()))
 
+    def forget(self) -> None:
+        """Drop what reading texts has filled in; the compiled gadgets and arcs stay."""
+        for memory in (self.words, self.before, self.table, self._left, self._right):
+            memory.clear()
+
     def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """Tokens that stand at one edge of ``token`` while it grows, each with the rank that swallows it."""
         known = (self._left, self._right)[side]
@@ -196,7 +201,8 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
         return {"ids": ids} | _digested(c["doc_id"], got)
 
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    return arrow_map(rows, run, "doc_id long, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("doc_id", key)
+    return arrow_map(rows, run, "doc_id long, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string",
+                     lambda: automaton(path).forget()).withColumnRenamed("doc_id", key)
 
 
 def _digested(keys: list, got: list[tuple[bytes, str, int]]) -> dict:
@@ -220,4 +226,5 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
         return _digested(c["doc_id"], [automaton(path).encode(t) for t in c["text"]])
 
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    return arrow_map(rows, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("doc_id", key)
+    return arrow_map(rows, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string",
+                     lambda: automaton(path).forget()).withColumnRenamed("doc_id", key)

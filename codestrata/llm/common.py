@@ -13,20 +13,26 @@ SPACES = r"[ \t-\r]+"
 STEP = 512                           # rows a worker holds decoded at a time
 
 
-def arrow_map(df: DataFrame, fn: Callable[[dict], dict], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable[[dict], dict], schema: str, done: Callable[[], None] | None = None) -> DataFrame:
     """Apply ``fn`` to small column dictionaries of each partition.
 
     ``fn`` takes and returns {column: list or array}. Batches are cut to STEP rows,
-    so that a run of very long texts never stands decoded in memory at once.
+    so that a run of very long texts never stands decoded in memory at once. ``done``
+    runs at the end of a partition: workers live on, so what they remember is dropped there.
     """
     names, out_names = df.columns, [f.split()[0] for f in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, STEP):
-                part = batch.slice(at, STEP)
-                got = fn({n: part.column(i).to_pylist() for i, n in enumerate(names)})
-                yield pa.RecordBatch.from_arrays([_array(got[n], kinds[n]) for n in out_names], names=out_names)
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, STEP):
+                    part = batch.slice(at, STEP)
+                    got = fn({n: part.column(i).to_pylist() for i, n in enumerate(names)})
+                    yield pa.RecordBatch.from_arrays([_array(got[n], kinds[n]) for n in out_names], names=out_names)
+        finally:
+            if done is not None:
+                done()
+            pa.default_memory_pool().release_unused()
 
     kinds = {f.split()[0]: _kind(f.split(None, 1)[1].strip()) for f in schema.split(",")}
     return df.mapInArrow(run, schema)
