@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def registries() -> list:
-    from . import documents
+    from . import activity, documents, reviews
 
-    return [documents.R]
+    return [documents.R, reviews.R, activity.R]
