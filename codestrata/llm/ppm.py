@@ -5,10 +5,10 @@ texts. A context gives a byte seen in it n / (total + distinct) and passes the r
 distinct / (total + distinct), to the next shorter context, from which the bytes already
 seen above are excluded. Below the empty context all bytes left are alike.
 
-Contexts of two bytes are all kept: there are at most 256^2. Of the three-byte contexts
-those with at least one part in SHARE of all positions are kept, which can't be more than
-SHARE whatever the corpus; the others are read as their two-byte context. So the trie,
-worked out into code lengths once, has a proven bound and is sent to every worker.
+All contexts are kept. Those of two bytes, of which there are at most 256^2, and the HOT
+most frequent ones of three bytes are worked out into code lengths once and sent to every
+worker, a bounded table. The other three-byte contexts stay in a Spark table; what follows
+them in a document is joined with their code lengths by context and summed per document.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from ..session import materialize
 from .common import STEP, arrow_map, hash_texts, raw
 
 ORDER = 3
-SHARE = 1 << 15         # most three-byte contexts kept
+HOT = 1 << 15           # three-byte contexts that are sent to every worker, at most
+COLD = (1 << 16) - 1    # stands for a row of a context that stays in the Spark table
 FLUSH = 1 << 22         # positions a worker gathers before it sums them up
 FREQUENT = 100_000      # words whose counts are sent to every worker, at most
 END_HASH = 0x5851F42D4C957F2D   # stands for the end of a text among the word hashes
@@ -64,10 +65,14 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 
 
 class Coder:
-    """Code lengths, in log10, of every byte after every kept context."""
+    """Code lengths, in log10, of every byte after every hot context and every one of two bytes."""
 
-    def __init__(self, three: list[tuple[np.ndarray, np.ndarray]], two: tuple[np.ndarray, np.ndarray]) -> None:
-        """``two``: (gram of three bytes, count); ``three``: (gram of four bytes, count) of kept contexts."""
+    def __init__(self, three: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray],
+                 cold: np.ndarray | None = None) -> None:
+        """``two``: (gram of three bytes, count); ``three``: (gram of four bytes, count) of hot contexts.
+
+        ``cold``: a bit for every three-byte context, set where it is in the Spark table.
+        """
         short = np.zeros((256, 256, 256), np.float32)
         counts = np.zeros((256, 256, 256))
         g, n = two
@@ -85,6 +90,8 @@ class Coder:
         contexts, row = np.unique(g >> 8, return_inverse=True)
         self.row = np.zeros(1 << 24, np.uint16)
         self.row[contexts] = np.arange(1, len(contexts) + 1)
+        if cold is not None:
+            self.row[np.flatnonzero(np.unpackbits(cold.view(np.uint8), bitorder="little"))] = COLD
         long = np.zeros((len(contexts), 256))
         long[row, g & 255] = n
         lengths = [self._below(x, short.reshape(-1, 256)[c & 0xFFFF], x > 0, counts.reshape(-1, 256)[c & 0xFFFF])
@@ -108,32 +115,67 @@ class Coder:
             out = n / total
         return out
 
-    def log10(self, data: bytes) -> float:
-        """log10 probability of a text."""
-        if not data:
-            return 0.0
+    def log10(self, data: bytes) -> tuple[float, np.ndarray, np.ndarray]:
+        """log10 probability of a text but for its grams after cold contexts; those, and how often each."""
         g = grams(data)
         row = self.row[g >> 8].astype(np.int32)
-        known = row > 0
-        return float(self.long[row[known] - 1, g[known] & 255].sum(dtype=np.float64)
-                     + self.short[g[~known] & 0xFFFFFF].sum(dtype=np.float64))
-
-
-def train(docs: DataFrame, keep: Column) -> tuple:
-    """Grams that the coder is built from, gathered from the whole texts for which ``keep`` holds."""
-    counted = materialize(gram_counts(docs.filter(keep)), "ppm-grams")
-    context = F.call_function("shiftright", F.col("gram"), F.lit(8))
-    total = counted.agg(F.sum("n")).first()[0] or 0
+        late = row == COLD
+        known = (row > 0) & ~late
+        least = ~known & ~late
+        return (float(self.long[row[known] - 1, g[known] & 255].sum(dtype=np.float64)
+                      + self.short[g[least] & 0xFFFFFF].sum(dtype=np.float64)),
+                *np.unique(g[late].astype(np.int64), return_counts=True))
+
+    def codes(self, g: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
+        """Of one context's grams the code lengths, and what an unseen byte has besides its length after two bytes."""
+        lower = 10.0 ** self.short.reshape(-1, 256)[(g[0] >> 8) & 0xFFFF].astype(np.float64)
+        seen = np.zeros(256, bool)
+        seen[g & 255] = True
+        room, left = n.sum() + len(n), lower[~seen].sum()
+        if not left:
+            return np.log10(n / n.sum()), 0.0           # no byte is unseen
+        return np.log10(n / room), float(np.log10(len(n) / room / left))
+
+
+def parted(counted: DataFrame) -> tuple[tuple, tuple, DataFrame]:
+    """Grams after hot contexts, all of three bytes, and a table (context, gram, n) of the grams after cold contexts."""
+    at = counted.withColumn("context", F.call_function("shiftright", F.col("gram"), F.lit(8)))
     two = counted.groupBy((F.col("gram") % (1 << 24)).alias("gram")).agg(F.sum("n").alias("n"))
-    often = counted.groupBy(context.alias("context")).agg(F.sum("n").alias("held")).filter(
-        F.col("held") * SHARE >= total)         # at most SHARE contexts
-    three = counted.withColumn("context", context).join(often, "context", "left_semi").select("gram", "n")
+    often = materialize(at.groupBy("context").agg(F.sum("n").alias("held")).orderBy(F.desc("held"), "context").limit(HOT)
+                        .select("context"), "ppm-hot")
 
     def got(df):
         t = df.toArrow()
         return t["gram"].to_numpy(), t["n"].to_numpy()
 
-    return got(three), got(two)                 # at most 2^23 and 2^24 numbers
+    # at most 256 * HOT and 2^24 numbers
+    return got(at.join(often, "context", "left_semi").select("gram", "n")), got(two), at.join(often, "context", "left_anti")
+
+
+def train(docs: DataFrame, keep: Column) -> tuple:
+    """Grams that the coder is built from, gathered from the whole texts for which ``keep`` holds."""
+    return parted(materialize(gram_counts(docs.filter(keep)), "ppm-grams"))[:2]
+
+
+def bits_of(contexts: DataFrame) -> np.ndarray:
+    """A bit for each of the 2^24 contexts of three bytes, set for those in ``contexts``."""
+    words = contexts.groupBy(F.call_function("shiftright", F.col("context"), F.lit(5)).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, int(context % 32))")).alias("bits")).toArrow()
+    out = np.zeros((1 << 24) // 32, np.uint32)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
+    return out
+
+
+def cold_codes(cold: DataFrame, held) -> DataFrame:
+    """(context, grams, codes, unseen) of every cold context; at most 256 grams each."""
+    def run(c):
+        coder = _coder(held)
+        got = [coder.codes(np.array([x["gram"] for x in f]), np.array([x["n"] for x in f])) for f in c["follow"]]
+        return {"context": c["context"], "grams": [[x["gram"] for x in f] for f in c["follow"]],
+                "codes": [x for x, _ in got], "unseen": [x for _, x in got]}
+
+    return arrow_map(cold.groupBy("context").agg(F.collect_list(F.struct("gram", "n")).alias("follow")), run,
+                     "context long, grams array<long>, codes array<double>, unseen double")
 
 
 _CODERS: dict[str, Coder] = {}
@@ -198,10 +240,12 @@ def score_documents(docs: DataFrame, keep: Column) -> DataFrame:
 
     Base counts: those of the FREQUENT most frequent words go to the workers, a bounded
     table; occurrences of all others are joined with theirs by hash, so a frequent word
-    never meets in one task.
+    never meets in one task. The model's cold contexts are joined in the same way.
     """
     spark = docs.sparkSession
-    grams_ = spark.sparkContext.broadcast((uuid.uuid4().hex, train(docs, keep)))
+    three, two, cold = parted(materialize(gram_counts(docs.filter(keep)), "ppm-grams"))
+    grams_ = spark.sparkContext.broadcast((uuid.uuid4().hex, (three, two, bits_of(cold))))
+    codes = materialize(cold_codes(cold, grams_), "ppm-cold")
     counts = materialize(word_counts(docs.filter(keep)), "word-counts")
     n_train, distinct = (v or 0 for v in counts.agg(F.sum("c"), F.count("c")).first())
     top = counts.orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow()
@@ -211,7 +255,7 @@ def score_documents(docs: DataFrame, keep: Column) -> DataFrame:
     below = np.log10(n_train + 0.5 * (distinct + 1))
 
     def run(c):
-        out = {k: [] for k in ("doc_id", "n_tokens", "n_known", "base", "score", "rare", "times")}
+        out = {k: [] for k in ("doc_id", "n_tokens", "n_known", "base", "score", "rare", "times", "late", "lows", "often")}
         coder = _coder(grams_)
         texts = [lowered(t) for t in c["text"]]
         for key, data, h in zip(c["doc_id"], texts, hash_texts(texts)):
@@ -222,14 +266,19 @@ def score_documents(docs: DataFrame, keep: Column) -> DataFrame:
             out["n_tokens"].append(len(h))
             out["n_known"].append(int(found.sum()))
             out["base"].append(float(np.log10(n[found] + 0.5).sum() - below * len(h)))
-            out["score"].append(coder.log10(data))
+            score, late, often = coder.log10(data)
+            out["score"].append(score)
+            out["late"].append(late)
+            out["lows"].append(coder.short[late & 0xFFFFFF].astype(np.float64))
+            out["often"].append(often)
             out["rare"].append(rare)
             out["times"].append(times)
         return out
 
     rows = arrow_map(
         docs.select("doc_id", "text"), run,
-        "doc_id long, n_tokens long, n_known long, base double, score double, rare array<long>, times array<long>")
+        "doc_id long, n_tokens long, n_known long, base double, score double, rare array<long>, times array<long>, "
+        "late array<long>, lows array<double>, often array<long>")
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
     asked = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select(
         "row", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
@@ -238,7 +287,14 @@ def score_documents(docs: DataFrame, keep: Column) -> DataFrame:
     late = asked.join(rest, "word", "left").groupBy("row").agg(
         F.sum(F.col("times") * F.log10(c + 0.5)).alias("more"),
         F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("known"))
-    return rows.drop("rare", "times").join(late, "row", "left").select(
+    met = rows.select("row", F.explode(F.arrays_zip("late", "lows", "often")).alias("g")).select(
+        "row", F.call_function("shiftright", F.col("g.late"), F.lit(8)).alias("context"), F.col("g.late").alias("gram"),
+        F.col("g.lows").alias("low"), F.col("g.often").alias("often"))
+    # a byte that the context has not seen comes from its two-byte one
+    code = F.coalesce(F.get("codes", F.array_position("grams", F.col("gram")) - 1), F.col("low") + F.col("unseen"))
+    long = met.join(codes, "context").groupBy("row").agg(F.sum(F.col("often") * code).alias("long"))
+    return rows.drop("rare", "times", "late", "lows", "often").join(late, "row", "left").join(long, "row", "left").select(
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(int(n_train)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce("long", F.lit(0.0))).alias("score"))

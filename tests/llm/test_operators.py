@@ -220,6 +220,50 @@ def test_ppm_is_a_distribution(spark, odd):
     assert len(ppm.score_documents(docs, F.lit(False)).collect()) == docs.count()
 
 
+def ppm_scores(texts):
+    """Every context of three bytes and less is kept; probabilities straight from the definition."""
+    tries = [{} for _ in range(4)]
+    for t in texts:
+        b = b"\0\0\0" + (t or "").encode().lower()
+        for i in range(3, len(b)):
+            for k in range(4):
+                tries[k].setdefault(b[i - k:i], Counter())[b[i]] += 1
+
+    def spread(context):
+        lower = spread(context[1:]) if context else [1 / 256] * 256
+        n = tries[len(context)].get(context)
+        if not n:
+            return lower
+        room, left = sum(n.values()) + len(n), sum(p for x, p in enumerate(lower) if x not in n)
+        return [n[x] / room if x in n else lower[x] / left * len(n) / room for x in range(256)]
+
+    known = {}
+
+    def score(t):
+        b = b"\0\0\0" + (t or "").encode().lower()
+        for i in range(3, len(b)):
+            known.setdefault(b[i - 3:i], None)
+            known[b[i - 3:i]] = known[b[i - 3:i]] or spread(b[i - 3:i])
+        return sum(math.log10(known[b[i - 3:i]][b[i]]) for i in range(3, len(b)))
+
+    return score
+
+
+@pytest.mark.parametrize("hot", [None, 3, 40])
+def test_ppm_keeps_every_context(spark, odd, monkeypatch, hot):
+    """A language that another one outweighs keeps its long contexts, and so do all that stay in the table."""
+    if hot:
+        monkeypatch.setattr(ppm, "HOT", hot)
+    texts = [(100, "the cat sat on the mat " * 6000), (101, "zwölf boxkämpfer jagen viktor"), (102, None), (103, "")]
+    texts += [(i, t) for i, t in odd[1] if i is not None and i < 15]
+    asked = [(200, "zwölf boxkämpfer qu\x7f"), (201, "the dog sat"), (202, "ж")]
+    score = ppm_scores([t for _, t in texts])
+    got = ppm.score_documents(table(spark, texts + asked), F.col("doc_id") < 200).collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for i, _ in texts + asked)
+    for r in got:
+        assert r.score == pytest.approx(score(dict(texts + asked)[r.doc_id]), rel=1e-4, abs=1e-4)
+
+
 def test_decontamination(spark):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     rng, texts, want = random.Random(4), [], set()
