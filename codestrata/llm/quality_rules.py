@@ -1,8 +1,8 @@
 """Quality rules. DataFrame operations only.
 
 Base rules count words, symbols, repeated lines and words in repeated 8-word windows.
-Beyond them, each language and source gets a robust centre and scatter of transformed
-statistics by the minimum covariance determinant (concentration steps over the nearest
+Beyond them, each language and source (where they have too few documents, the language,
+else the whole table) gets a robust centre and scatter of transformed statistics by the minimum covariance determinant (concentration steps over the nearest
 three quarters of its documents), and a document too far from them by Mahalanobis
 distance is rejected.
 """
@@ -21,7 +21,8 @@ SYMBOLS = "#*$%&|<>"    # fixed value
 HALF = 0.75             # share of a group that the estimate rests on
 STEPS = 3               # concentration steps
 CUTOFF = 60.0           # squared distance beyond which a document goes
-LEAST = 40              # smaller groups are judged by the base rules alone
+LEAST = 40              # smaller groups are judged by the fit of their language, or of the whole table
+WHOLE = "all"           # the fit of the whole table
 # A statistic's spread is at least this, so that a constant one can't blow up distances.
 FLOORS = {"word_length": 0.05, "symbols": 0.25, "dup_lines": 0.25, "repeats": 0.05}
 CHI_MEDIAN = 3.357      # median of the chi-square distribution with four degrees
@@ -93,8 +94,8 @@ def cholesky(names: list[str]) -> list[tuple[str, Column]]:
 
 
 def distanced(rows: DataFrame, fits: DataFrame, names: list[str]) -> DataFrame:
-    """``rows`` with their squared Mahalanobis distance d under their group's fit."""
-    out = rows.join(fits, "group")
+    """``rows`` with their squared Mahalanobis distance d under their fit."""
+    out = rows.join(fits, "fit")
     for i, name in enumerate(names):
         z = F.col(name) - F.col(f"m_{i}")
         for k in range(i):
@@ -105,9 +106,9 @@ def distanced(rows: DataFrame, fits: DataFrame, names: list[str]) -> DataFrame:
 
 
 def estimate(rows: DataFrame, names: list[str]) -> DataFrame:
-    """Mean m_i and factor l_i_j for every group over ``rows``."""
+    """Mean m_i and factor l_i_j for every fit over ``rows``."""
     p = range(len(names))
-    fits = rows.groupBy("group").agg(
+    fits = rows.groupBy("fit").agg(
         *[F.avg(names[i]).alias(f"m_{i}") for i in p],
         *[F.covar_pop(names[i], names[j]).alias(f"c_{i}_{j}") for i in p for j in p if i <= j])
     for i in p:
@@ -117,49 +118,70 @@ def estimate(rows: DataFrame, names: list[str]) -> DataFrame:
     return fits.drop(*[f"c_{i}_{j}" for i in p for j in p if i <= j])
 
 
+def choices(judged: DataFrame, everyone: DataFrame) -> DataFrame:
+    """(group, fit, fits): the fit that judges a group, and those that its rows are part of.
+
+    A group of LEAST judged rows or more has its own; a smaller one takes that of its
+    language, or of the whole table where the language has fewer rows, too.
+    """
+    n = judged.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+    sizes = materialize(everyone.select("group", "of_lang").distinct().join(n, "group", "left").na.fill(0, ["n"]), "mcd-sizes")
+    langs = sizes.groupBy("of_lang").agg(F.sum("n").alias("n_lang"), F.min("n").alias("least"))
+    whole = langs.agg(F.coalesce(F.min("n_lang") < LEAST, F.lit(False)).alias("whole"))
+    own, lang = F.col("n") >= LEAST, F.col("n_lang") >= LEAST
+    return materialize(sizes.join(langs, "of_lang").crossJoin(F.broadcast(whole)).select(
+        "group", F.when(own, F.col("group")).when(lang, F.col("of_lang")).otherwise(WHOLE).alias("fit"),
+        F.filter(F.array(F.when(own, F.col("group")), F.when(lang & (F.col("least") < LEAST), F.col("of_lang")),
+                         F.when(F.col("whole"), F.lit(WHOLE))), lambda x: x.isNotNull()).alias("fits")), "mcd-choices")
+
+
 def mcd_distances(stats: DataFrame) -> DataFrame:
-    """doc rows with group size n and squared robust distance d (null for small groups)."""
+    """doc rows with squared robust distance d under the fit of their group, language or the whole table."""
     names = list(transformed())
     null = F.lit("\x01")
-    rows = stats.select("*", F.concat_ws("\x00", F.coalesce("lang", null), F.coalesce("source", null)).alias("group"),
+    rows = stats.select("*", F.concat_ws("\x00", F.lit("group"), F.coalesce("lang", null), F.coalesce("source", null)).alias("group"),
+                        F.concat_ws("\x00", F.lit("lang"), F.coalesce("lang", null)).alias("of_lang"),
                         *[c.alias(n) for n, c in transformed().items()])
-    judged = rows.filter(F.col("n_words") >= MIN_WORDS).select("group", *names)
+    long_ = rows.filter(F.col("n_words") >= MIN_WORDS)
+    chosen = choices(long_, rows)
+    judged = materialize(long_.join(chosen, "group").select(F.explode("fits").alias("fit"), *names), "mcd-rows")
     # start: distance from the medians, each statistic on its own
-    middle = materialize(judged.groupBy("group").agg(
+    middle = materialize(judged.groupBy("fit").agg(
         *[F.percentile_approx(n, 0.5, 1000).alias(f"m_{i}") for i, n in enumerate(names)]), "mcd-middle")
-    off = judged.join(middle, "group").select("group", *names, *[F.abs(F.col(n) - F.col(f"m_{i}")).alias(f"a_{i}") for i, n in enumerate(names)])
-    spread = off.groupBy("group").agg(
+    off = judged.join(middle, "fit").select("fit", *names, *[F.abs(F.col(n) - F.col(f"m_{i}")).alias(f"a_{i}") for i, n in enumerate(names)])
+    spread = off.groupBy("fit").agg(
         *[F.percentile_approx(f"a_{i}", 0.5, 1000).alias(f"s_{i}") for i in range(len(names))])
-    fits = middle.join(spread, "group")
+    fits = middle.join(spread, "fit")
     for i, n in enumerate(names):
         for j in range(i + 1):
             fits = fits.withColumn(f"l_{i}_{j}", F.sqrt((1.4826 * F.col(f"s_{i}")) ** 2 + FLOORS[n] ** 2) if i == j else F.lit(0.0))
     fits = materialize(fits, "mcd-start")
     for _ in range(STEPS):
         near = distanced(judged, fits, names)
-        cuts = near.groupBy("group").agg(F.percentile_approx("d", HALF, 1000).alias("cut"))
-        fits = materialize(estimate(near.join(cuts, "group").filter(F.col("d") <= F.col("cut")), names), "mcd-step")
-    last = distanced(judged, fits, names).groupBy("group").agg(
-        F.percentile_approx("d", 0.5, 1000).alias("mid"), F.count(F.lit(1)).alias("n_group"))
+        cuts = near.groupBy("fit").agg(F.percentile_approx("d", HALF, 1000).alias("cut"))
+        fits = materialize(estimate(near.join(cuts, "fit").filter(F.col("d") <= F.col("cut")), names), "mcd-step")
+    last = distanced(judged, fits, names).groupBy("fit").agg(F.percentile_approx("d", 0.5, 1000).alias("mid"))
     # a scatter made of the nearest three quarters is too small: widen it to a normal median,
     # never narrow it, for floors may have widened it already
-    scaled = fits.join(last, "group").withColumn("widen", F.greatest(F.lit(1.0), F.col("mid") / CHI_MEDIAN))
-    far = rows.join(scaled, "group", "left")
+    scaled = fits.join(last, "fit").withColumn("widen", F.greatest(F.lit(1.0), F.col("mid") / CHI_MEDIAN))
+    # few rows: a join by group, then one by fit, would deal all small groups to one task
+    far = rows.join(chosen.select("group", "fit").join(scaled, "fit", "left"), "group", "left")
     for i, name in enumerate(names):
         z = F.col(name) - F.col(f"m_{i}")
         for k in range(i):
             z = z - F.col(f"l_{i}_{k}") * F.col(f"z_{k}")
         far = far.withColumn(f"z_{i}", z / F.col(f"l_{i}_{i}"))
     d = sum((F.col(f"z_{i}") ** 2 for i in range(1, len(names))), F.col("z_0") ** 2) / F.col("widen")
-    return far.select(*stats.columns, F.when(F.col("n_group") >= LEAST, d).alias("distance"))
+    return far.select(*stats.columns, d.alias("distance"))
 
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Statistics, base verdict, distance and final verdict of every row of ``docs``.
 
     Null or empty text: no words, so base_failed. Null lang or source: a group of its
-    own. Groups with fewer than LEAST judged documents: distance null, base rules
-    only. Repeated rows are judged each for itself. Empty table: no rows. Further
+    own. Groups with fewer than LEAST judged documents: the fit of their language, or
+    else of the whole table, whatever its size; distance is null only where no row of
+    the table has MIN_WORDS words. Repeated rows are judged each for itself. Empty table: no rows. Further
     columns are ignored.
     """
     stats = materialize(statistics(docs, key, text), "quality-stats")

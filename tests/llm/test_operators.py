@@ -153,6 +153,18 @@ def test_quality_outliers(spark):
     assert all(kept[i] for i in range(80)) and not any(kept[100 + i] for i in range(8))
 
 
+def test_quality_small_groups(spark):
+    """Groups with too few rows are judged by their language, and a language with too few by the whole table."""
+    rng = random.Random(4)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(80))
+    many = [(i, text(), "en", f"s{i % 40}", 0, "", "") for i in range(120)]
+    few = [(200 + i, text(), f"l{i}", "s", 0, "", "") for i in range(3)]
+    junk = [(300 + i, text().replace(" ", "### "), lang, "s1", 0, "", "") for i, lang in enumerate(["en", "l0", None])]
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(many + few + junk, SCHEMA)).collect()}
+    assert all(r.distance is not None for r in got.values()) and len(got) == 126
+    assert {i for i, r in got.items() if not r.kept} == {300, 301, 302}
+
+
 def test_sharding(spark, odd):
     docs, texts = odd
     got = sharding.assign_shards(docs, limit=2000).collect()
