@@ -2,8 +2,9 @@
 
 Base rules count words, symbols, repeated lines and words in repeated 8-word windows.
 Beyond them, each language and source (where they have too few documents, the language,
-else the whole table) gets a robust centre and scatter of transformed statistics by the minimum covariance determinant (concentration steps over the nearest
-three quarters of its documents), and a document too far from them by Mahalanobis
+else the whole table) gets a robust centre and scatter of transformed statistics by the
+minimum covariance determinant (concentration steps over the nearest half of its
+documents, until no determinant falls), and a document too far from them by Mahalanobis
 distance is rejected.
 """
 
@@ -18,8 +19,8 @@ MIN_WORDS = 20
 MAX_REPEAT = 30         # percent of words in repeated windows
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"    # fixed value
-HALF = 0.75             # share of a group that the estimate rests on
-STEPS = 3               # concentration steps
+SHARES = [x / 100 for x in range(50, 101)]      # of a group's rows, to cut at the one that has the least half
+FALL = 1e-3             # least fall of a determinant's logarithm that counts as one
 CUTOFF = 60.0           # squared distance beyond which a document goes
 LEAST = 40              # smaller groups are judged by the fit of their language, or of the whole table
 WHOLE = "all"           # the fit of the whole table
@@ -118,6 +119,31 @@ def estimate(rows: DataFrame, names: list[str]) -> DataFrame:
     return fits.drop(*[f"c_{i}_{j}" for i in p for j in p if i <= j])
 
 
+def concentrated(judged: DataFrame, start: DataFrame, names: list[str]) -> DataFrame:
+    """Fits over the nearest half of their rows, concentrated until the determinant of none of them falls.
+
+    Each turn lowers at least one determinant by FALL, and the floors bound them from
+    below, so it ends; a fit whose determinant has stopped falling sits out the turns left.
+    """
+    values = [c for c in start.columns if c[:2] in ("m_", "l_")]
+    fits = materialize(start.select("fit", *values).withColumns({"det": F.lit(float("inf")), "falls": F.lit(True)}), "mcd-start")
+    while True:
+        near = distanced(judged, fits.filter("falls").drop("det", "falls"), names)
+        n = F.col("n")
+        half = F.ceil(100 * F.floor((n + len(names) + 1) / 2) / n) - 50
+        cuts = near.groupBy("fit").agg(F.percentile_approx("d", SHARES, 1000).alias("cut"), F.count(F.lit(1)).alias("n")).select(
+            "fit", F.get("cut", F.least(half, F.lit(len(SHARES) - 1)).cast("int")).alias("cut"))
+        new = estimate(near.join(cuts, "fit").filter(F.col("d") <= F.col("cut")), names)
+        new = new.select("fit", *[F.col(v).alias(f"new_{v}") for v in values],
+                         sum(2 * F.log(F.col(f"l_{i}_{i}")) for i in range(len(names))).alias("new_det"))
+        falls = F.coalesce(F.col("new_det") < F.col("det") - FALL, F.lit(False))
+        fits = materialize(fits.join(new, "fit", "left").select(
+            "fit", *[F.when(falls, F.col(f"new_{v}")).otherwise(F.col(v)).alias(v) for v in [*values, "det"]],
+            falls.alias("falls")), "mcd-step")
+        if fits.filter("falls").isEmpty():
+            return fits.drop("det", "falls")
+
+
 def choices(judged: DataFrame, everyone: DataFrame) -> DataFrame:
     """(group, fit, fits): the fit that judges a group, and those that its rows are part of.
 
@@ -155,13 +181,9 @@ def mcd_distances(stats: DataFrame) -> DataFrame:
     for i, n in enumerate(names):
         for j in range(i + 1):
             fits = fits.withColumn(f"l_{i}_{j}", F.sqrt((1.4826 * F.col(f"s_{i}")) ** 2 + FLOORS[n] ** 2) if i == j else F.lit(0.0))
-    fits = materialize(fits, "mcd-start")
-    for _ in range(STEPS):
-        near = distanced(judged, fits, names)
-        cuts = near.groupBy("fit").agg(F.percentile_approx("d", HALF, 1000).alias("cut"))
-        fits = materialize(estimate(near.join(cuts, "fit").filter(F.col("d") <= F.col("cut")), names), "mcd-step")
+    fits = concentrated(judged, fits, names)
     last = distanced(judged, fits, names).groupBy("fit").agg(F.percentile_approx("d", 0.5, 1000).alias("mid"))
-    # a scatter made of the nearest three quarters is too small: widen it to a normal median,
+    # a scatter made of the nearest half is too small: widen it to a normal median,
     # never narrow it, for floors may have widened it already
     scaled = fits.join(last, "fit").withColumn("widen", F.greatest(F.lit(1.0), F.col("mid") / CHI_MEDIAN))
     # few rows: a join by group, then one by fit, would deal all small groups to one task

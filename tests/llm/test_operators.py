@@ -165,6 +165,18 @@ def test_quality_small_groups(spark):
     assert {i for i, r in got.items() if not r.kept} == {300, 301, 302}
 
 
+def test_quality_copies_of_junk(spark):
+    """Copies of one poor document that are a third of a group, or nearly half, don't become its centre."""
+    rng = random.Random(6)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(80))
+    rows = []
+    for source, copies in (("a", 40), ("b", 64)):
+        poor = text().replace(" ", "### ")
+        rows += [(len(rows) + i, text() if i < 80 else poor, "en", source, 0, "", "good" if i < 80 else "") for i in range(80 + copies)]
+    kept = {r.doc_id: r.kept for r in quality_rules.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(kept) == len(rows) and all(kept[r[0]] == (r[-1] == "good") for r in rows)
+
+
 def test_sharding(spark, odd):
     docs, texts = odd
     got = sharding.assign_shards(docs, limit=2000).collect()
