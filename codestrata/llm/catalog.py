@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..catalog.base import Registry
 from ..session import read_table
-from . import bpe, decontaminate, jaccard_join, ppm, quality_model, quality_rules, sharding, substrings, token_counts, toxicity
+from . import (bpe, decontaminate, jaccard_join, lexical_search, periodic_runs, ppm, quality_model, quality_rules, sharding,
+               substrings, token_counts, toxicity, warc)
 from .common import crc_mod
 
 R = Registry()
@@ -97,3 +98,36 @@ def op10_quality_classifier(spark, sf_dir):
     model = quality_model.train(docs, labels, crc_mod("doc_id", 4) != 2)
     return quality_model.score_documents(docs, model).select(
         "doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@R.query("op11_salvage_warc", f"""
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+h AS (SELECT *, CASE WHEN payload_bytes >= {warc.SHARED_FROM} THEN max(page_id) OVER (PARTITION BY payload_digest) END AS holder FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN holder IS NOT NULL AND page_id IS DISTINCT FROM holder THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM holder THEN holder END AS refers_to FROM h""")
+def op11_salvage_warc(spark, sf_dir):
+    return warc.page_rows(warc.round_trip(read_table(spark, sf_dir, "pages")))
+
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_TERMS_OF = f"unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}'))"
+
+
+@R.query("op12_lexical_search", f"""
+WITH t AS (SELECT doc_id, {_TERMS_OF} AS term FROM documents), d AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+s AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM d),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+q AS (SELECT item_id, {_TERMS_OF} AS term FROM benchmark),
+score AS (SELECT item_id, doc_id, CAST(sum(CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT)
+                 * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms)))) AS BIGINT) AS score
+          FROM q JOIN df USING (term) JOIN tf USING (term) JOIN d USING (doc_id), s GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM score WHERE score > 0 QUALIFY rank <= {lexical_search.BEST}""")
+def op12_lexical_search(spark, sf_dir):
+    return lexical_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@R.query("op13_periodic_runs")
+def op13_periodic_runs(spark, sf_dir):
+    docs = periodic_runs.with_planted_periods(read_table(spark, sf_dir, "documents"))
+    return periodic_runs.digests(periodic_runs.find_runs(docs))
