@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def registries() -> list:
-    from . import activity, documents, reviews
+    from . import activity, documents, reviews, state
 
-    return [documents.R, reviews.R, activity.R]
+    return [documents.R, reviews.R, activity.R, state.R]
