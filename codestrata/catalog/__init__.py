@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def registries() -> list:
-    from . import activity, documents, reviews, state
+    from . import activity, documents, graphs, reviews, state
 
-    return [documents.R, reviews.R, activity.R, state.R]
+    return [documents.R, reviews.R, activity.R, state.R, graphs.R]
