@@ -5,6 +5,9 @@ the start. A set that reaches the threshold with another one misses few of its o
 tokens there; so in any fixed sample of its tokens most must be found in some other set
 as well, and sets for which that fails leave early. For the others:
 
+* Sets whose tokens are held by more than CROWD sets are members of a large family. They are
+  grouped under OTHER_KEYS further hashes and linked within these groups, so that a family
+  has one name, but for few of its sets, before it meets the matrix.
 * Similar sets are put into groups of some BLOCK, by their least token, and all links
   within a group are found.
 * The matrix has a row for each token and group whose union holds it. A set asks it for
@@ -15,12 +18,14 @@ as well, and sets for which that fails leave early. For the others:
   are compared.
 
 So a family of near copies costs one row for each set outside its main component and
-group, not one for each pair. Components are joined over the links found.
+group, not one for each pair: its tokens are no other component's, and ask for nothing.
+Components are joined over the links found.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -30,6 +35,8 @@ from .common import arrow_map, bit_filter, hash_texts, holds, raw, shingle_hashe
 from .graphs import components
 
 BLOCK = 400             # sets in a block, about
+CROWD = 16              # sets that hold a token, from which on it is a family's
+OTHER_KEYS = 3          # groups that a family's set is in before it meets the matrix
 SAMPLE = 5              # a set's sample is as many tokens as it may miss, one, and so many percent of all
 
 
@@ -83,14 +90,21 @@ def samples(docs: DataFrame, width: int, percent: int, maybe=None) -> DataFrame:
 
 
 def candidates(docs: DataFrame, leaders: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, d, key) of the sets that may have a partner of another content."""
+    """(doc_id, d, key, crowded, others) of the sets that may have a partner of another content.
+
+    crowded: most of the set's shared sample tokens are a family's. others: its least tokens under further hashes.
+    """
     shared = materialize(
-        samples(docs, width, percent).groupBy("token").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
-        .filter("lo <> hi").select("token"), "shared-tokens")
+        samples(docs, width, percent).groupBy("token").agg(
+            F.min("d").alias("lo"), F.max("d").alias("hi"), (F.count(F.lit(1)) > CROWD).alias("crowd"))
+        .filter("lo <> hi").select("token", "crowd"), "shared-tokens")
     maybe = docs.sparkSession.sparkContext.broadcast(bit_filter(shared, "token"))
+    others = [F.min(F.xxhash64("token", F.lit(k))) for k in range(OTHER_KEYS)]
     found = samples(docs, width, percent, maybe).join(shared, "token").groupBy("doc_id", "d").agg(
-        F.count(F.lit(1)).alias("hits"), F.first("least").alias("least"), F.first("key").alias("key"))
-    return found.filter("hits >= least").select("doc_id", "d", "key").join(leaders, ["doc_id", "d"], "left_semi")
+        F.count(F.lit(1)).alias("hits"), F.first("least").alias("least"), F.first("key").alias("key"),
+        F.count_if("crowd").alias("crowds"), F.array(*others).alias("others"))
+    return found.filter("hits >= least").select("doc_id", "d", "key", (2 * F.col("crowds") >= F.col("hits")).alias("crowded"), "others").join(
+        leaders, ["doc_id", "d"], "left_semi")
 
 
 def link_block(docs: list[int], sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -150,16 +164,65 @@ def places(chosen: DataFrame) -> DataFrame:
     return dealt.select("doc_id", "d", "key", "part", (F.col("part") != F.col("home")).alias("lead"))
 
 
+def placed_sets(docs: DataFrame, placed: DataFrame, width: int) -> DataFrame:
+    """``placed`` with the tokens of every set. Only texts whose doc_id may be placed are shuffled."""
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(placed.select(F.xxhash64("doc_id").alias("id")), "id"))
+
+    @F.pandas_udf("boolean")
+    def may(ids: pd.Series) -> pd.Series:
+        return pd.Series(holds(bits.value, ids.to_numpy()))
+
+    texts = docs.select("doc_id", "text").filter("doc_id is not null").filter(may(F.xxhash64("doc_id")))
+    texts = texts.join(placed.hint("merge"), "doc_id")     # the same at every size
+    rest = [f for f in placed.schema if f.name != "doc_id"]
+
+    def whole(c):
+        sets = token_sets(c["text"], width)
+        return {"doc_id": c["doc_id"], "digest": [_digest(s) for s in sets], "tokens": sets} | {f.name: c[f.name] for f in rest}
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString().replace('bigint', 'long')}" for f in rest)
+    sets = arrow_map(texts, whole, f"doc_id long, {kinds}, digest binary, tokens array<long>")
+    # a doc_id may have rows with other texts
+    return sets.filter(F.xxhash64("digest") == F.col("d")).drop("digest", "d")
+
+
+def family_links(sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v): every set of a group with the least doc_id of its component there."""
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("doc_id")
+        docs = table["doc_id"].to_pylist()
+        cid = link_block(docs, _sets(table["tokens"]), percent) if len(docs) > 1 else docs
+        return pa.table({"u": pa.array(docs, pa.int64()), "v": pa.array(cid, pa.int64())})
+
+    return sets.select("doc_id", "key", "part", "tokens").groupBy("key", "part").applyInArrow(run, "u long, v long").filter("u <> v")
+
+
+def common_names(cid: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """Least name of what is connected by equal ``cid`` or equal ``name``."""
+    _, by_cid = np.unique(cid, return_inverse=True)
+    _, by_name = np.unique(name, return_inverse=True)
+    while True:
+        least = name.copy()
+        for by in (by_cid, by_name):
+            of = np.full(by.max() + 1, np.iinfo(np.int64).max)
+            np.minimum.at(of, by, least)
+            least = of[by]
+        if (least == name).all():
+            return name
+        name = least
+
+
 def group_sets(sets: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, cid, key, part, tokens, matrix, lo, hi): every set with its component within its group.
+    """(doc_id, cid, key, part, tokens, matrix, lo, hi): every set with its component as its group knows it.
 
-    One row of each group also has the group's row of the matrix: the union of its
+    ``sets`` have a name, equal for sets already known to be connected. One row of each group also has the group's row of the matrix: the union of its
     tokens, each with the least and the greatest component that has it.
     """
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("doc_id")
         docs, lead = table["doc_id"].to_pylist(), np.array(table["lead"].to_pylist())
-        cid = link_block(docs, _sets(table["tokens"]), percent) if len(docs) > 1 else np.array(docs, np.int64)
+        name = table["name"].to_numpy()
+        cid = common_names(link_block(docs, _sets(table["tokens"]), percent), name) if len(docs) > 1 else name
         out = table.append_column("cid", pa.array(cid, pa.int64())).filter(pa.array(~lead)).select(
             ["doc_id", "cid", "key", "part", "tokens"])
         if not out.num_rows:
@@ -300,20 +363,17 @@ def join_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     leads = full.groupBy("digest", "d").agg(F.min("doc_id").alias("lead"))
     leaders = leads.select(F.col("lead").alias("doc_id"), "d")
 
-    placed = materialize(places(materialize(candidates(docs, leaders, width, percent), "set-candidates")), "set-places")
-    texts = docs.select("doc_id", "text").join(placed.hint("merge"), "doc_id")     # the same at every size
-
-    def whole(c):
-        sets = token_sets(c["text"], width)
-        return {"digest": [_digest(s) for s in sets], "tokens": sets} | {k: c[k] for k in ("doc_id", "d", "key", "part", "lead")}
-
-    sets = arrow_map(texts, whole, "doc_id long, d long, key long, part int, lead boolean, digest binary, tokens array<long>")
-    # a doc_id may have rows with other texts
-    sets = sets.filter(F.xxhash64("digest") == F.col("d")).select("doc_id", "key", "part", "lead", "tokens")
-    grouped = materialize(group_sets(sets, percent), "set-groups")
+    chosen = materialize(candidates(docs, leaders, width, percent), "set-candidates")
+    crowd = chosen.filter("crowded").select("doc_id", "d", F.explode("others").alias("key"))
+    links = family_links(placed_sets(docs, materialize(places(crowd), "family-places"), width), percent)
+    families = components(links)
+    placed = places(chosen.select("doc_id", "d", "key")).join(families.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    placed = materialize(placed.withColumn("name", F.coalesce("component", "doc_id")).drop("component"), "set-places")
+    grouped = materialize(group_sets(placed_sets(docs, placed, width), percent), "set-groups")
     inner = grouped.select(F.col("doc_id").alias("u"), F.col("cid").alias("v"))
     # rows of one doc_id, and its copies of other sets, meet in their doc_id
-    found = components(inner.unionByName(cross_links(grouped, percent)).unionByName(
+    known = families.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    found = components(inner.unionByName(known).unionByName(cross_links(grouped, percent)).unionByName(
         full.join(leads, ["digest", "d"]).select(F.col("doc_id").alias("u"), F.col("lead").alias("v"))))
     return rows.join(found, rows["doc_id"] == found["node"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

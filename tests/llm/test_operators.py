@@ -89,6 +89,31 @@ def test_jaccard_many_groups(spark, monkeypatch):
     assert got == linked_components(texts, 2, 80)
 
 
+@pytest.mark.parametrize("crowd", [1, 16])
+def test_jaccard_families(spark, monkeypatch, crowd):
+    """Large families of near copies, chains between them and sets beside them, in many small groups."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 7)
+    monkeypatch.setattr(jaccard_join, "CROWD", crowd)
+    rng = random.Random(crowd)
+    texts = []
+    for family in range(4):
+        base = [f"w{family}.{i}" for i in range(60)]
+        for _ in range(100):
+            w = list(base)
+            for _ in range(rng.randrange(5)):
+                w[rng.randrange(60)] = f"x{rng.randrange(50)}"
+            texts.append((len(texts) * 7 % 1000, " ".join(w)))
+            base = w if rng.random() < .2 else base         # some families wander
+    texts += [(2000 + i, f"a{i} b c d e f g h") for i in range(20)] + [(5, texts[3][1]), (3000, texts[3][1])]
+    got = sorted((tuple(r) for r in jaccard_join.join_documents(table(spark, texts), 2, 80).collect()), key=repr)
+    assert got == linked_components(texts, 2, 80)
+
+
+def test_common_names():
+    got = jaccard_join.common_names(np.array([1, 1, 3, 3, 5]), np.array([9, 7, 7, 2, 4]))
+    assert got.tolist() == [2, 2, 2, 2, 4]
+
+
 def removed(texts):
     wins = {}
     for i, t in texts:
