@@ -114,8 +114,12 @@ def _hash_group(texts: list[bytes]) -> list[np.ndarray]:
     if not len(starts):
         return [np.zeros(0, np.int64)] * len(texts)
     place = np.flatnonzero(inside)
-    inner = (place - np.repeat(starts, size)) & 1023
-    values = _OF_BYTE[buf[place]] * _OF_PLACE[inner]
+    inner = place - np.repeat(starts, size)
+    factor = _OF_PLACE[inner & 1023]
+    if size.max() > len(_OF_PLACE):         # further on the table's numbers are mixed with the thousand
+        far = np.flatnonzero(inner > 1023)
+        factor[far] = mixed(factor[far] + (inner[far] >> 10).astype(np.uint64) * _ODD) | np.uint64(1)
+    values = _OF_BYTE[buf[place]] * factor
     h = np.add.reduceat(values, np.cumsum(size) - size)
     h = mixed(h + size.astype(np.uint64) * _ODD).view(np.int64)
     bounds = 1 + np.cumsum([0] + [len(t) + 1 for t in texts])

@@ -16,12 +16,14 @@ changed is still found with the recall stated in the README.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_map, hash_texts, raw, shingle_hashes
+from .common import STEP, arrow_map, hash_texts, raw, shingle_hashes
 
 MAX_EDITS = 15          # percent of the item's length
 # Words that have to agree somewhere: (run of so many words, with so many bytes at least).
@@ -191,6 +193,16 @@ def _items(held) -> Items:
     return _ITEMS[name]
 
 
+def _slices(docs: DataFrame, benchmark: DataFrame) -> Iterator:
+    """Broadcast slices of the items, of at most SLICE bytes each; a single longer item is a slice."""
+    items = benchmark.select("item_id", "text").filter("item_id is not null and text is not null").dropDuplicates()
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    slices = max(1, ceil(2 * total / SLICE))            # hashed slices are even to a factor well under two
+    for k in range(slices):
+        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k).orderBy("item_id", "text").collect()
+        yield docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [(r.item_id, r.text) for r in rows]))
+
+
 def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, distance): every item that a document holds, with its least distance found.
 
@@ -200,15 +212,8 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for each item_id, a repeated document once for each of its rows. Further columns are
     ignored.
     """
-    spark = docs.sparkSession
-    items = benchmark.select("item_id", "text").filter("item_id is not null and text is not null").dropDuplicates()
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slices = max(1, ceil(2 * total / SLICE))            # hashed slices are even to a factor well under two
     out = None
-    for k in range(slices):
-        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k).orderBy("item_id", "text").collect()
-        held = spark.sparkContext.broadcast((uuid.uuid4().hex, [(r.item_id, r.text) for r in rows]))
-
+    for held in _slices(docs, benchmark):
         def run(c, held=held):
             got = _items(held).matches(c["text"])
             return {"doc_id": [c["doc_id"][d] for d, _, _ in got], "item_id": [i for _, i, _ in got],
@@ -219,10 +224,22 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
+def _clean(held):
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        out = np.ones(len(texts), bool)
+        for at in range(0, len(texts), STEP):
+            out[[at + d for d, _, _ in _items(held).matches(texts.iloc[at:at + STEP].tolist())]] = False
+        return pd.Series(out)
+
+    return clean
+
+
 def without_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs``, all columns, less the documents that hold an item.
+    """``docs``, all columns, less the rows whose text holds an item.
 
-    Documents are told by doc_id; one with a null doc_id stays.
+    Each row is judged by its own text, whatever its doc_id, without a shuffle.
     """
-    held = find_items(docs, benchmark).select("doc_id").distinct()
-    return docs.join(held, "doc_id", "left_anti")
+    for held in _slices(docs, benchmark):
+        docs = docs.filter(_clean(held)("text"))
+    return docs
