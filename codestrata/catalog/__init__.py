@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def registries() -> list:
-    from . import activity, documents, graphs, reviews, state, streams
+    from . import activity, documents, graphs, lookups, reviews, state, streams
 
-    return [documents.R, reviews.R, activity.R, state.R, graphs.R, streams.R]
+    return [documents.R, reviews.R, activity.R, state.R, graphs.R, streams.R, lookups.R]
