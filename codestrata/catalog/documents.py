@@ -71,46 +71,52 @@ def exact_duplicates(spark, sf_dir):
     return dup.exact_stars(document_files(spark, sf_dir))
 
 
+# every pair of files by the rule itself, over all files' blocks; leaders only name the groups
 SQL_PAIRS = SQL_BLOCKS + r""",
-firsts AS (SELECT min(doc_id) AS file FROM documents GROUP BY md5(text)),
-fb AS (SELECT blk.file, block FROM blk JOIN firsts ON firsts.file = blk.file),
-tot AS (SELECT file, count(*) AS windows, string_agg(DISTINCT block, ',' ORDER BY block) AS sig FROM fb GROUP BY file),
-lead AS (SELECT sig, windows, min(file) AS leader FROM tot GROUP BY sig, windows),
-mem AS (SELECT tot.file, tot.windows, leader, len(string_split(tot.sig, ',')) AS d FROM tot JOIN lead ON tot.sig = lead.sig AND tot.windows = lead.windows),
-star AS (SELECT leader AS file1, file AS file2, CAST(round_even(least(d / windows * 100, 100), 0) AS INTEGER) AS similarity FROM mem WHERE file <> leader),
-u AS (SELECT DISTINCT fb.file, block FROM fb JOIN mem ON mem.file = fb.file AND mem.leader = fb.file),
+tot AS (SELECT file, CAST(count(*) AS INTEGER) AS windows, md5(string_agg(DISTINCT block, ',' ORDER BY block)) AS sig FROM blk GROUP BY file),
+doc AS (SELECT doc_id AS file, md5(text) AS d, windows, sig FROM documents LEFT JOIN tot ON file = doc_id),
+mem AS (SELECT file, d, CASE WHEN d IS NOT NULL THEN min(file) OVER (PARTITION BY d) END AS content_leader,
+        CASE WHEN sig IS NOT NULL THEN min(file) OVER (PARTITION BY sig, windows) END AS block_leader FROM doc),
+u AS (SELECT DISTINCT file, block FROM blk),
 p AS (SELECT a.file AS file1, b.file AS file2, count(*) AS shared FROM u a JOIN u b ON a.block = b.block AND a.file < b.file GROUP BY 1, 2),
-pairs AS (SELECT file1, file2, CAST(round_even(least(shared / least(t1.windows, t2.windows) * 100, 100), 0) AS INTEGER) AS similarity
-          FROM p JOIN tot t1 ON t1.file = file1 JOIN tot t2 ON t2.file = file2),
-block_rows AS (SELECT * FROM pairs WHERE similarity >= 30 UNION ALL SELECT * FROM star WHERE similarity >= 30),
-exact_rows AS (SELECT f.file AS file1, doc_id AS file2, 100 AS similarity FROM documents JOIN
-               (SELECT md5(text) AS d, min(doc_id) AS file FROM documents GROUP BY 1) f ON f.d = md5(text) WHERE doc_id <> f.file),
-dup AS (SELECT file1, file2, similarity, 'block' AS type FROM block_rows
-        UNION ALL SELECT file1, file2, CAST(similarity AS INTEGER), 'exact' FROM exact_rows)
+near AS (SELECT file1, file2, CAST(round_even(least(shared / least(t1.windows, t2.windows) * 100, 100), 0) AS INTEGER) AS similarity
+         FROM p JOIN doc t1 ON t1.file = file1 JOIN doc t2 ON t2.file = file2 WHERE t1.d <> t2.d),
+pair AS (SELECT *, 'block' AS type FROM near WHERE similarity >= 30
+         UNION ALL SELECT x.file, y.file, 100, 'exact' FROM doc x JOIN doc y ON x.d = y.d AND x.file < y.file),
+both_ways AS (SELECT file1 AS file, file2 AS mate, similarity, type FROM pair UNION ALL SELECT file2, file1, similarity, type FROM pair),
+block_rows AS (SELECT DISTINCT least(m1.block_leader, m2.block_leader) AS file1, greatest(m1.block_leader, m2.block_leader) AS file2, similarity
+               FROM pair JOIN mem m1 ON m1.file = file1 JOIN mem m2 ON m2.file = file2 WHERE type = 'block')
 """
 
 
+@R.query("duplicate_membership", f"WITH {SQL_PAIRS} SELECT file, content_leader, block_leader FROM mem")
+def duplicate_membership(spark, sf_dir):
+    """The group leaders that stand for each file in the rows of the report."""
+    return dup.Groups(document_files(spark, sf_dir)).membership.select("file", "content_leader", "block_leader")
+
+
 @R.query("block_duplicates", f"WITH {SQL_PAIRS} SELECT file1, file2, similarity FROM block_rows")
 def block_duplicates(spark, sf_dir):
-    return dup.block_pairs(document_files(spark, sf_dir))
+    """Pairs of group leaders that share blocks; a leader with itself for different contents of its group."""
+    return dup.Groups(document_files(spark, sf_dir)).block_rows()
 
 
-@R.query("duplicate_report", f"WITH {SQL_PAIRS} SELECT file1, file2, similarity, type FROM dup")
+@R.query("duplicate_report", f"""WITH {SQL_PAIRS} SELECT file1, file2, similarity, 'block' AS type FROM block_rows
+UNION ALL SELECT content_leader, file, 100, 'exact' FROM mem WHERE file <> content_leader""")
 def duplicate_report(spark, sf_dir):
-    return dup.duplicate_report(document_files(spark, sf_dir)).orderBy(F.desc("similarity"), "file1", "file2")
+    """Copies and block pairs, most similar first."""
+    return dup.Groups(document_files(spark, sf_dir)).report().orderBy(F.desc("similarity"), "file1", "file2", "type")
 
 
 @R.query("duplicates_by_file", f"""WITH {SQL_PAIRS}
-SELECT file1 AS file, file2 AS other, similarity FROM dup UNION ALL SELECT file2, file1, similarity FROM dup""")
+SELECT b.file, CASE type WHEN 'exact' THEN m.content_leader ELSE m.block_leader END AS other, similarity, type, count(*) AS n_files
+FROM both_ways b JOIN mem m ON m.file = mate GROUP BY ALL""")
 def duplicates_by_file(spark, sf_dir):
-    return dup.duplicates_by_file(dup.duplicate_report(document_files(spark, sf_dir)))
+    """For every file, copies and members of large groups included, where its duplicates are and how many."""
+    return dup.Groups(document_files(spark, sf_dir)).by_file()
 
 
-@R.query("duplicate_totals", f"""WITH {SQL_PAIRS},
-m AS (SELECT file1 AS f FROM dup UNION SELECT file2 FROM dup)
-SELECT (SELECT count(*) FROM dup) AS pairs, (SELECT count(*) FROM m) AS files""")
+@R.query("duplicate_totals", f"""WITH {SQL_PAIRS}
+SELECT (SELECT count(*) FROM pair) AS pairs, (SELECT count(DISTINCT file) FROM both_ways) AS files""")
 def duplicate_totals(spark, sf_dir):
-    report = dup.duplicate_report(document_files(spark, sf_dir))
-    sides = report.select(F.explode(F.array("file1", "file2")).alias("file"), F.lit(0).alias("pair"))
-    counted = report.select(F.lit(None).cast("long").alias("file"), F.lit(1).alias("pair")).unionByName(sides)
-    return counted.agg(F.coalesce(F.sum("pair"), F.lit(0)).cast("long").alias("pairs"), F.countDistinct("file").alias("files"))
+    return dup.Groups(document_files(spark, sf_dir)).totals()

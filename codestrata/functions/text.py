@@ -9,8 +9,12 @@ LINE_BREAK = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}\x{1d}\x{1e}\x{85}\x{2028}\x{2029}]"
 BLANK = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
+# the characters that BLANK stands for
+BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def lines_of(text: Column) -> Column:
@@ -35,8 +39,9 @@ def normalize_line(line: Column) -> Column:
     rest is lower-cased.
     """
     code = strip(F.substring_index(line, "#", 1))
-    code = F.regexp_replace(code, '".*?"', '""')
-    code = F.regexp_replace(code, "'.*?'", "''")
+    for quote in ('"', "'"):
+        # most lines have no quotes and need no pattern
+        code = F.when(F.contains(code, F.lit(quote)), F.regexp_replace(code, f"{quote}.*?{quote}", quote * 2)).otherwise(code)
     return F.lower(code)
 
 
