@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..plans import scores
+from ..plans import cohesion, scores
 from ..session import read_table
 from .base import Registry
 
@@ -18,25 +18,33 @@ def _even(s: str, n: str) -> str:
 
 FACTS = f"""
 items AS (SELECT l_orderkey AS file, CAST(floor(l_quantity) AS BIGINT) AS quantity, l_returnflag AS flag,
-          CAST(floor(l_extendedprice) AS BIGINT) % 4 AS depth, CAST(round(l_discount * 100) AS BIGINT) AS cents FROM lineitem),
+          CAST(floor(l_extendedprice) AS BIGINT) % 4 AS depth, CAST(round(l_discount * 100) AS BIGINT) AS cents,
+          CAST(round(l_tax * 100) AS BIGINT) AS tax FROM lineitem),
 per AS (SELECT file, count(*) AS n_functions, CAST(sum(quantity % 25 + 1) AS BIGINT) AS cc_sum, max(quantity % 25 + 1) AS max_cc,
-        max(depth) AS max_depth, bool_or(flag = 'R') AS recursive, CAST(sum(quantity) AS BIGINT) AS n_lines,
+        max(depth) AS max_depth, bool_or(flag = 'R') AS recursive, CAST(sum(4 * quantity) AS BIGINT) AS n_lines,
         count(*) FILTER (flag <> 'N') AS documented, count(*) FILTER (cents = 10) AS critical,
-        count(*) FILTER (cents = 9) AS high, count(*) FILTER (cents = 8) AS medium FROM items GROUP BY file),
-facts AS (SELECT per.*, {_even('10 * cc_sum', 'n_functions')} AS cc_tenths, {_even('1000 * documented', 'n_functions')} AS doc_tenths,
+        count(*) FILTER (cents = 9) AS high, count(*) FILTER (cents = 8) AS medium, count(*) FILTER (cents = 7) AS low,
+        count(*) FILTER (cents = 6) AS info, count(*) FILTER (cents = 5) AS other, count(*) FILTER (tax = 8) AS n_structural FROM items GROUP BY file),
+facts AS (SELECT o_orderkey AS file, coalesce(n_functions, 0) AS n_functions, coalesce(max_cc, 1) AS max_cc, coalesce(max_depth, 0) AS max_depth,
+          coalesce(recursive, false) AS recursive, coalesce(n_lines, 0) AS n_lines, coalesce(critical, 0) AS critical, coalesce(high, 0) AS high,
+          coalesce(medium, 0) AS medium, coalesce(low, 0) AS low, coalesce(info, 0) AS info, coalesce(other, 0) AS other, coalesce(n_structural, 0) AS n_structural,
+          CASE WHEN n_functions > 0 THEN {_even('10 * cc_sum', 'n_functions')} ELSE 10 END AS cc_tenths,
+          CASE WHEN n_functions > 0 THEN {_even('1000 * documented', 'n_functions')} ELSE 0 END AS doc_tenths,
           CASE o_orderpriority[1] WHEN '1' THEN 'orchestrator' WHEN '2' THEN 'cli_parser' WHEN '4' THEN 'data_model'
                WHEN '5' THEN 'test' ELSE 'utility' END AS role,
           CASE o_orderpriority[1] WHEN '3' THEN 'example' WHEN '4' THEN 'docs' WHEN '5' THEN 'test' ELSE 'production' END AS file_type
-          FROM per JOIN orders ON o_orderkey = file),
+          FROM orders LEFT JOIN per ON o_orderkey = file),
 prob AS (SELECT *, CAST(least(100, CASE WHEN max_cc > 10 THEN 30 WHEN max_cc > 5 THEN 10 ELSE 0 END
          + CASE WHEN max_depth >= 3 THEN 30 WHEN max_depth = 2 THEN 15 ELSE 0 END + least(critical * 20, 40)
-         + CASE WHEN n_lines > 500 THEN 10 ELSE 0 END) AS BIGINT) AS p, critical + high + medium AS n_issues FROM facts),
-rest AS (SELECT *, 100 - p * 20 // 100 - (12 * critical + 8 * high + 4 * medium) - least(35,
-         CASE WHEN max_cc > 3 THEN CAST(floor(pow(max_cc - 3, 1.3)) AS BIGINT) ELSE 0 END
-         + CASE WHEN max_depth = 2 THEN 5 WHEN max_depth >= 3 THEN 15 ELSE 0 END) AS plain FROM prob),
-files AS (SELECT *, CAST(CASE WHEN file_type = 'test' THEN greatest(75, 100 - p * 15 // 100 - 5 * (critical + high))
-          WHEN n_issues = 0 AND max_cc <= 5 AND max_depth <= 1 AND p < 60 AND plain < 95 THEN plain + least(95 - plain, 15)
-          ELSE greatest(0, plain) END AS BIGINT) AS score FROM rest)"""
+         + CASE WHEN n_lines > 500 THEN 10 ELSE 0 END) AS BIGINT) AS p, critical + high + medium + low + info + other AS n_security FROM facts),
+part_costs AS (SELECT *, n_security + n_structural AS n_issues, file_type = 'test' AS t,
+         CASE WHEN file_type = 'test' THEN p * 15 // 100 ELSE p * 20 // 100 END AS guess,
+         CASE WHEN file_type = 'test' THEN 5 * (critical + high) ELSE 12 * critical + 8 * high + 4 * medium + low + 3 * other END AS cost,
+         CASE WHEN file_type = 'test' THEN 0 ELSE least(35, CASE WHEN max_cc > 3 THEN CAST(floor(pow(max_cc - 3, 1.3)) AS BIGINT) ELSE 0 END
+         + CASE WHEN max_depth = 2 THEN 5 WHEN max_depth >= 3 THEN 15 ELSE 0 END) END AS drop_ FROM prob),
+rest AS (SELECT *, CASE WHEN NOT t AND n_security = 0 AND max_cc <= 5 AND max_depth <= 1 AND p < 60 AND 100 - guess - drop_ - cost < 95
+         THEN least(guess + drop_ + cost - 5, 15) ELSE 0 END AS bonus FROM part_costs),
+files AS (SELECT *, CAST(greatest(CASE WHEN t THEN 75 ELSE 0 END, least(100, 100 - guess - drop_ - cost + bonus)) AS BIGINT) AS score FROM rest)"""
 
 
 def _files(spark, sf_dir):
@@ -64,40 +72,80 @@ def issue_probability(spark, sf_dir):
     return scores.probability(scores.file_facts(spark, sf_dir)).select("file", (F.col("p") / 100).alias("probability"))
 
 
-@R.query("quality_scores", f"""WITH {FACTS} SELECT file, file_type, n_issues, score, CASE WHEN score >= 90 THEN 'Excellent'
+@R.query("quality_scores", f"""WITH {FACTS} SELECT file, file_type, n_issues, n_security, score, CAST(bonus // 2 - guess AS BIGINT) AS heuristics,
+CAST(-cost AS BIGINT) AS security, CAST(bonus // 2 - drop_ AS BIGINT) AS complexity, CASE WHEN score >= 90 THEN 'Excellent'
 WHEN score >= 80 THEN 'Healthy' WHEN score >= 60 THEN 'Fair' WHEN score >= 40 THEN 'Needs attention' ELSE 'At risk' END AS verdict FROM files""")
 def quality_scores(spark, sf_dir):
-    return _files(spark, sf_dir).select("file", "file_type", "n_issues", "score", scores.verdict(F.col("score")).alias("verdict"))
+    """Score of each file with the points that its parts cost or bring."""
+    return _files(spark, sf_dir).select("file", "file_type", "n_issues", "n_security", "score", "heuristics", "security", "complexity", scores.verdict(F.col("score")).alias("verdict"))
 
 
-@R.query("repository_summary", f"""WITH {FACTS},
-s AS (SELECT count(*) AS n_files, count(*) FILTER (file_type = 'production') AS n_production, count(*) FILTER (n_issues > 0) AS files_with_issues,
- CAST(coalesce(sum(n_issues) FILTER (file_type = 'production'), 0) AS BIGINT) AS security_issues,
+# cohesion by the rule itself: every pair of functions of a file
+COHESION = """
+fn AS (SELECT l_orderkey AS module, concat_ws('.', l_linenumber, l_partkey) AS f,
+       [concat('s', l_suppkey), concat('f', l_returnflag, l_linestatus), concat('q', CAST(floor(l_quantity) AS BIGINT))] AS ids FROM lineitem),
+fu AS (SELECT module, f, flatten(list(ids)) AS ids FROM fn GROUP BY module, f),
+con AS (SELECT a.module, count(*) AS pairs, count(*) FILTER (list_has_any(a.ids, b.ids)) AS connected FROM fu a JOIN fu b ON a.module = b.module AND a.f < b.f GROUP BY 1),
+coh AS (SELECT module, CAST(count(*) AS BIGINT) AS n_functions, CAST(coalesce(max(pairs), 0) AS BIGINT) AS pairs, CAST(coalesce(max(connected), 0) AS BIGINT) AS connected
+        FROM fu LEFT JOIN con USING (module) GROUP BY module),
+cohesion AS (SELECT *, CASE WHEN pairs = 0 THEN 1.0 ELSE connected / pairs END AS cohesion FROM coh)"""
+WARNINGS = f"""{COHESION},
+warn AS (SELECT file, 'long_file' AS type, 'medium' AS severity, CAST(n_lines AS BIGINT) AS n FROM files JOIN cohesion ON module = file
+         WHERE file_type = 'production' AND n_lines > 500 AND cohesion < 0.40
+         UNION ALL SELECT file, 'complex_function', CASE WHEN max_cc <= 20 THEN 'medium' ELSE 'high' END, max_cc FROM files
+         WHERE file_type = 'production' AND max_cc > 10)"""
+
+
+def _cohesion(spark, sf_dir):
+    return cohesion.modules(scores.functions(spark, sf_dir))
+
+
+@R.query("module_cohesion", f"WITH {COHESION} SELECT module, n_functions, pairs, connected, cohesion FROM cohesion")
+def module_cohesion(spark, sf_dir):
+    """Share of the pairs of a file's functions that touch something in common."""
+    return _cohesion(spark, sf_dir)
+
+
+@R.query("maintainability_warnings", f"WITH {FACTS}, {WARNINGS} SELECT file, type, severity, n FROM warn")
+def maintainability_warnings(spark, sf_dir):
+    """Long production files of low cohesion, and those with a complex function."""
+    return scores.warnings(_files(spark, sf_dir), _cohesion(spark, sf_dir))
+
+
+@R.query("repository_summary", f"""WITH {FACTS}, {WARNINGS},
+s AS (SELECT count(*) AS n_files, count(*) FILTER (file_type = 'production') AS n_production, count(*) FILTER (n_structural > 0) AS files_with_issues,
+ CAST(coalesce(sum(n_security) FILTER (file_type = 'production'), 0) AS BIGINT) AS security_issues, CAST(coalesce(sum(n_lines), 0) AS BIGINT) AS lines_of_code,
  sum(score * CASE file_type WHEN 'production' THEN 100 WHEN 'example' THEN 10 WHEN 'docs' THEN 5 ELSE 0 END) AS weighted,
  sum(CASE file_type WHEN 'production' THEN 100 WHEN 'example' THEN 10 WHEN 'docs' THEN 5 ELSE 0 END) AS weights,
  sum(doc_tenths) FILTER (file_type = 'production') AS docs, sum(cc_tenths) FILTER (file_type = 'production') AS ccs FROM files),
-a AS (SELECT n_files, n_production, files_with_issues, security_issues, coalesce({_even('100 * weighted', 'weights')}, 0) / 100.0 AS avg_score,
+a AS (SELECT n_files, n_production, n_files - n_production AS n_other, files_with_issues, security_issues, lines_of_code,
+ coalesce({_even('100 * weighted', 'weights')}, 0) / 100.0 AS avg_score,
  coalesce({_even('docs', 'n_production')}, 0) / 10.0 AS avg_doc, coalesce({_even('ccs', 'n_production')}, 0) / 10.0 AS avg_cc FROM s),
 b AS (SELECT *, CAST(CASE WHEN security_issues = 0 THEN 100 ELSE greatest(0, round_even(100 - pow(security_issues, 0.7) * 10, 0)) END AS BIGINT) AS security_score,
  CAST(greatest(0, round_even(100 - least(avg_cc * 3, 80), 0)) AS BIGINT) AS simplicity_score FROM a)
-SELECT *, CAST(round_even(0.35 * avg_score + 0.25 * security_score + 0.20 * avg_doc + 0.20 * simplicity_score, 0) AS BIGINT) AS health_score FROM b""")
+SELECT *, CAST(round_even(0.35 * avg_score + 0.25 * security_score + 0.20 * avg_doc + 0.20 * simplicity_score, 0) AS BIGINT) AS health_score,
+ (SELECT count(*) FROM warn) AS n_warnings FROM b""")
 def repository_summary(spark, sf_dir):
-    """The one-row summary with the health score."""
-    return scores.summary(_files(spark, sf_dir))
+    """The one-row summary with the health score and the number of warnings."""
+    files = _files(spark, sf_dir)
+    n = scores.warnings(files, _cohesion(spark, sf_dir)).agg(F.count(F.lit(1)).alias("n_warnings"))
+    return scores.summary(files).crossJoin(F.broadcast(n))         # one row each
 
 
 def _top(name, order, keep="true", n=5):
     """Register a top list: the limit is the feature, ties go to the smaller file."""
-    @R.query(name, f"WITH {FACTS} SELECT file, score, max_cc, n_issues FROM files WHERE {keep} ORDER BY {order}, file LIMIT {n}")
+    @R.query(name, f"WITH {FACTS} SELECT file, score, cc_tenths / 10.0 AS avg_cc, n_issues, n_security FROM files WHERE {keep} ORDER BY {order}, file LIMIT {n}")
     def query(spark, sf_dir):
-        return _files(spark, sf_dir).filter(keep).orderBy(F.expr(order.removesuffix(" DESC")).desc() if order.endswith(" DESC")
-                                                          else F.expr(order), "file").limit(n).select("file", "score", "max_cc", "n_issues")
+        return _files(spark, sf_dir).filter(keep).orderBy(
+            F.expr(order.removesuffix(" DESC")).desc() if order.endswith(" DESC") else F.expr(order), "file").limit(n).select(
+            "file", "score", (F.col("cc_tenths") / 10).alias("avg_cc"), "n_issues", "n_security")
     return query
 
 
-_top("top_complex_files", "max_cc DESC", "file_type = 'production' AND max_cc > 3")
-_top("top_risk_files", "n_issues + 2 * critical DESC", "file_type = 'production'", 3)
+_top("top_complex_files", "cc_tenths DESC", "file_type = 'production' AND cc_tenths > 30")
+_top("top_risk_files", "n_issues + 2 * n_security DESC", "file_type = 'production' AND n_issues > 0", 3)
 _top("worst_scored_files", "score", n=15)
+_top("top_scored_files", "score DESC", "cc_tenths > 0 OR n_issues > 0 OR score < 100", 15)
 
 
 @R.query("headline_findings", """

@@ -13,9 +13,14 @@ from ..session import read_table
 # Complexity from which a role warns and errs.
 THRESHOLDS = {"orchestrator": (25, 40), "cli_parser": (18, 30), "utility": (10, 20), "data_model": (12, 22), "test": (5, 10)}
 # Points that a finding of each severity costs.
-SEVERITY_POINTS = {"critical": 12, "high": 8, "medium": 4}
+SEVERITY_POINTS = {"critical": 12, "high": 8, "medium": 4, "low": 1, "info": 0, "unknown": 3}
 # Hundredths that a file of each type weighs in the average score.
 TYPE_WEIGHTS = {"production": 100, "example": 10, "docs": 5, "test": 0}
+# Hundredths of a discount that stand for a security finding of a severity; a tax of OTHER for one of another kind.
+SEVERITIES = {10: "critical", 9: "high", 8: "medium", 7: "low", 6: "info", 5: "unknown"}
+OTHER = 8
+# Lines from which a file is long, and the share of connected functions under which it is split up.
+LONG, SPLIT = 500, 0.40
 # Which role and type an order's priority stands for.
 ROLES = {"1": "orchestrator", "2": "cli_parser", "3": "utility", "4": "data_model", "5": "test"}
 TYPES = {"1": "production", "2": "production", "3": "example", "4": "docs", "5": "test"}
@@ -39,25 +44,51 @@ def half_even(total: Column, n: Column) -> Column:
 
 
 def file_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per file with a function: complexity, depth, severities, documentation, lines, role and type."""
+    """One row per file: complexity, depth, findings, documentation, lines, role and type.
+
+    A file without functions has the complexity 1 of its own code, and none of anything else.
+    """
+    cents = lambda c: F.round(F.col(c) * 100).cast("long")
     items = read_table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("file"), F.col("l_quantity").cast("long").alias("quantity"),
         (F.col("l_returnflag") == "R").alias("recursive"), (F.col("l_returnflag") != "N").cast("long").alias("documented"),
-        (F.floor("l_extendedprice") % 4).alias("depth"), F.round(F.col("l_discount") * 100).cast("long").alias("cents"))
+        (F.floor("l_extendedprice") % 4).alias("depth"), cents("l_discount").alias("severity"), cents("l_tax").alias("other"))
     cc = F.col("quantity") % 25 + 1
     per_file = items.groupBy("file").agg(
         F.count(F.lit(1)).alias("n_functions"), F.sum(cc).alias("cc_sum"), F.max(cc).alias("max_cc"),
         F.max("depth").alias("max_depth"), F.max("recursive").alias("recursive"),
-        F.sum("quantity").alias("n_lines"), F.sum("documented").alias("documented"),
-        F.count_if(F.col("cents") == 10).alias("critical"), F.count_if(F.col("cents") == 9).alias("high"),
-        F.count_if(F.col("cents") == 8).alias("medium"))
+        F.sum(4 * F.col("quantity")).alias("n_lines"), F.sum("documented").alias("documented"),
+        *[F.count_if(F.col("severity") == k).alias(name) for k, name in SEVERITIES.items()],
+        F.count_if(F.col("other") == OTHER).alias("n_structural"))
     first = F.substring("o_orderpriority", 1, 1)
     files = read_table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("file"), pick(first, ROLES, "utility").alias("role"), pick(first, TYPES, "production").alias("file_type"))
+    none = {c: 0 for c in ("n_functions", "max_depth", "n_lines", "documented", "n_structural", *SEVERITY_POINTS)}
+    facts = files.join(per_file, "file", "left").na.fill(none | {"max_cc": 1, "recursive": False})
     return (
-        per_file.join(files, "file")
-        .withColumn("cc_tenths", half_even(10 * F.col("cc_sum"), F.col("n_functions")))
-        .withColumn("doc_tenths", half_even(1000 * F.col("documented"), F.col("n_functions"))))
+        facts.withColumn("cc_tenths", F.coalesce(half_even(10 * F.col("cc_sum"), F.col("n_functions")), F.lit(10)))
+        .withColumn("doc_tenths", F.coalesce(half_even(1000 * F.col("documented"), F.col("n_functions")), F.lit(0))))
+
+
+def functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(module, function, identifier): what the functions of a file touch: a supplier, a flag pair and a size."""
+    lines = read_table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("module"), F.concat_ws(".", F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")).alias("function"),
+        F.explode(F.array(
+            F.concat(F.lit("s"), F.col("l_suppkey").cast("string")), F.concat(F.lit("f"), "l_returnflag", "l_linestatus"),
+            F.concat(F.lit("q"), F.col("l_quantity").cast("long").cast("string")))).alias("identifier"))
+    return lines
+
+
+def warnings(facts: DataFrame, cohesion: DataFrame) -> DataFrame:
+    """(file, type, severity, n): production files that are long and hang together loosely, or have a complex function."""
+    rows = facts.filter("file_type = 'production'").join(cohesion.select(F.col("module").alias("file"), "cohesion"), "file", "left")
+    loose = F.coalesce("cohesion", F.lit(1.0)) < SPLIT
+    found = F.array(
+        F.when((F.col("n_lines") > LONG) & loose, F.struct(F.lit("long_file").alias("type"), F.lit("medium").alias("severity"), F.col("n_lines").cast("long").alias("n"))),
+        F.when(F.col("max_cc") > 10, F.struct(F.lit("complex_function").alias("type"), F.when(F.col("max_cc") <= 20, "medium").otherwise("high").alias("severity"),
+                                              F.col("max_cc").cast("long").alias("n"))))
+    return rows.select("file", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("w")).select("file", "w.*")
 
 
 def risk(facts: DataFrame) -> DataFrame:
@@ -79,18 +110,30 @@ def probability(facts: DataFrame) -> DataFrame:
 
 
 def scored(facts: DataFrame) -> DataFrame:
-    """Quality score from 0 to 100; test files by the lighter rule."""
+    """Quality score from 0 to 100 with its parts heuristics, security and complexity; test files by the lighter rule.
+
+    n_security counts the security findings of all severities, n_issues those and the structural ones.
+    """
     cc, depth, p = F.col("max_cc"), F.col("max_depth"), F.col("p")
-    n_issues = F.col("critical") + F.col("high") + F.col("medium")
-    test = F.greatest(F.lit(75), 100 - F.floor(p * 15 / 100) - 5 * (F.col("critical") + F.col("high")))
+    n_security = sum((F.col(k) for k in SEVERITY_POINTS), F.lit(0))
+    heavy = 5 * (F.col("critical") + F.col("high"))
     drop = F.when(cc > 3, F.floor(F.pow((cc - 3).cast("double"), 1.3))).otherwise(0)
     drop = F.least(drop + F.when(depth == 2, 5).when(depth >= 3, 15).otherwise(0), F.lit(35))
     points = sum((F.col(k) * v for k, v in SEVERITY_POINTS.items()), F.lit(0))
-    plain = 100 - F.floor(p * 20 / 100) - drop - points
-    clean = (n_issues == 0) & (cc <= 5) & (depth <= 1) & (p < 60) & (plain < 95)
-    full = F.when(clean, plain + F.least(95 - plain, F.lit(15))).otherwise(plain)
-    score = F.when(F.col("file_type") == "test", test).otherwise(F.greatest(F.lit(0), F.least(full, F.lit(100))))
-    return probability(facts).withColumn("n_issues", n_issues).withColumn("score", score.cast("long"))
+    guess = F.floor(p * F.when(F.col("test"), 15).otherwise(20) / 100)
+    out = probability(facts).withColumn("test", F.col("file_type") == "test").withColumn("n_security", n_security.cast("long"))
+    out = out.withColumns({
+        "n_issues": F.col("n_security") + F.col("n_structural"), "guess": guess,
+        "cost": F.when(F.col("test"), heavy).otherwise(points), "drop": F.when(F.col("test"), 0).otherwise(drop)})
+    plain = 100 - F.col("guess") - F.col("drop") - F.col("cost")
+    clean = ~F.col("test") & (F.col("n_security") == 0) & (cc <= 5) & (depth <= 1) & (p < 60) & (plain < 95)
+    out = out.withColumn("plain", plain).withColumn("bonus", F.when(clean, F.least(95 - plain, F.lit(15))).otherwise(0))
+    score = F.greatest(F.when(F.col("test"), 75).otherwise(0), F.least(F.col("plain") + F.col("bonus"), F.lit(100)))
+    half = F.floor(F.col("bonus") / 2)
+    out = out.withColumns({
+        "score": score.cast("long"), "heuristics": (half - F.col("guess")).cast("long"), "security": (-F.col("cost")).cast("long"),
+        "complexity": (half - F.col("drop")).cast("long")})
+    return out.drop("test", "guess", "cost", "drop", "plain", "bonus")
 
 
 def verdict(score: Column) -> Column:
@@ -104,15 +147,16 @@ def summary(files: DataFrame) -> DataFrame:
     production = F.col("file_type") == "production"
     sums = files.agg(
         F.count(F.lit(1)).alias("n_files"), F.count_if(production).alias("n_production"),
-        F.count_if(F.col("n_issues") > 0).alias("files_with_issues"),
-        F.coalesce(F.sum(F.when(production, F.col("n_issues"))), F.lit(0)).alias("security_issues"),
+        F.count_if(F.col("n_structural") > 0).alias("files_with_issues"), F.coalesce(F.sum("n_lines"), F.lit(0)).alias("lines_of_code"),
+        F.coalesce(F.sum(F.when(production, F.col("n_security"))), F.lit(0)).alias("security_issues"),
         F.sum(F.col("score") * weight).alias("weighted"), F.sum(weight).alias("weights"),
         F.sum(F.when(production, F.col("doc_tenths"))).alias("docs"), F.sum(F.when(production, F.col("cc_tenths"))).alias("ccs"))
     some = F.col("n_production") > 0
     score = F.when(some, half_even(100 * F.col("weighted"), F.col("weights"))).otherwise(0)
     doc = F.when(some, half_even(F.col("docs"), F.col("n_production"))).otherwise(0)
     cc = F.when(some, half_even(F.col("ccs"), F.col("n_production"))).otherwise(0)
-    out = sums.select("n_files", "n_production", "files_with_issues", "security_issues",
+    out = sums.select("n_files", "n_production", (F.col("n_files") - F.col("n_production")).alias("n_other"), "files_with_issues",
+                      "security_issues", "lines_of_code",
                       (score / 100).alias("avg_score"), (doc / 10).alias("avg_doc"), (cc / 10).alias("avg_cc"))
     issues = F.col("security_issues")
     safe = F.when(issues == 0, 100).otherwise(F.greatest(F.lit(0), F.bround(100 - F.pow(issues.cast("double"), 0.7) * 10, 0)))

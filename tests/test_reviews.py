@@ -1,30 +1,85 @@
 """Scores and state queries on hand-made tables, also empty ones."""
 
 import datetime as dt
+import random
 
+import numpy as np
 import pytest
 
 from codestrata.catalog import activity
-from codestrata.plans import scores
+from codestrata.plans import cohesion, scores
 
 FACTS = """file long, role string, file_type string, max_cc long, max_depth long, recursive boolean, n_lines long,
-critical long, high long, medium long, doc_tenths long, cc_tenths long"""
+critical long, high long, medium long, low long, info long, unknown long, n_structural long, doc_tenths long, cc_tenths long"""
 
 
 def facts(spark, *rows):
     return spark.createDataFrame(list(rows), FACTS)
 
 
-@pytest.mark.parametrize("kind,cc,depth,critical,want", [
-    ("production", 1, 0, 0, 100),       # nothing to find
-    ("production", 5, 0, 0, 98),        # 2 ** 1.3 is 2.46, so two points
-    ("production", 25, 3, 0, 100 - 12 - 35),    # complexity costs 35 at most
-    ("production", 1, 0, 9, 0),         # never under 0
-    ("test", 25, 3, 9, 75),             # test files never under 75
+@pytest.mark.parametrize("kind,cc,depth,found,want", [
+    ("production", 1, 0, {}, 100),      # nothing to find
+    ("production", 5, 0, {}, 98),       # 2 ** 1.3 is 2.46, so two points
+    ("production", 25, 3, {}, 100 - 12 - 35),   # complexity costs 35 at most
+    ("production", 1, 0, {"critical": 9}, 0),   # never under 0
+    ("production", 1, 0, {"low": 2}, 98),       # each severity has its points
+    ("production", 1, 0, {"info": 5}, 100),
+    ("production", 1, 0, {"unknown": 2}, 94),
+    ("production", 1, 0, {"high": 1, "medium": 1, "low": 1}, 87),
+    ("test", 25, 3, {"critical": 9}, 75),       # test files never under 75
+    ("test", 1, 0, {"medium": 9, "unknown": 3}, 100),   # and only the worst severities count there
 ])
-def test_score(spark, kind, cc, depth, critical, want):
-    row = (1, "utility", kind, cc, depth, False, 10, critical, 0, 0, 1000, 10)
-    assert scores.scored(facts(spark, row)).first()["score"] == want
+def test_score(spark, kind, cc, depth, found, want):
+    severities = [found.get(k, 0) for k in ("critical", "high", "medium", "low", "info", "unknown")]
+    row = (1, "utility", kind, cc, depth, False, 10, *severities, 0, 1000, 10)
+    got = scores.scored(facts(spark, row)).first()
+    assert got["score"] == want
+    assert max(75 if kind == "test" else 0, 100 + got["heuristics"] + got["security"] + got["complexity"]) == want
+
+
+def functions_brute(rows):
+    held = {}
+    for m, f, i in rows:
+        if m is not None and f is not None:
+            held.setdefault(m, {}).setdefault(f, set()).update([i] if i is not None else [])
+    out = {}
+    for m, fs in held.items():
+        sets = list(fs.values())
+        pairs = len(sets) * (len(sets) - 1) // 2
+        joined = sum(bool(a & b) for k, a in enumerate(sets) for b in sets[:k])
+        out[m] = (len(sets), pairs, joined, joined / pairs if pairs else 1.0)
+    return out
+
+
+def test_cohesion(spark):
+    """A hot module in which common identifiers connect most, rare ones more than can be bits, and small modules."""
+    rng = random.Random(9)
+    rows = [("hot", f"f{k}", f"i{int(rng.expovariate(.15))}") for k in range(150) for _ in range(rng.randrange(4))]
+    rows += [("flat", f"f{k % 40}", f"i{k % 37}") for k in range(120)] + [("one", "f", "x"), ("none", "f", None), ("none", "g", None), ("two", "f", "x"), ("two", "g", "x")]
+    rows += rows[:20] + [(None, "f", "x"), ("two", None, "x")]
+    got = cohesion.modules(spark.createDataFrame(rows, "module string, function string, identifier string")).collect()
+    assert {r.module: tuple(r)[1:] for r in got} == functions_brute(rows)
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 60])
+def test_disjoint_pairs(n):
+    rng = np.random.default_rng(n)
+    bits, counts = np.unique(rng.integers(0, 1 << cohesion.HEAVY, n) & rng.integers(0, 1 << cohesion.HEAVY, n), return_counts=True)
+    each = np.repeat(bits, counts).tolist()
+    assert cohesion.disjoint_pairs(bits, counts) == sum(a & b == 0 for k, a in enumerate(each) for b in each[:k])
+
+
+def test_files_without_functions(spark, tmp_path):
+    """They have the complexity of their own code and count in every average."""
+    day = dt.datetime(2024, 1, 1)
+    spark.createDataFrame([(1, "1-URGENT"), (2, "1-URGENT")], "o_orderkey long, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(1, 5, 7, 1, 24.0, 100.0, 0.0, 0.0, "R", "F", day)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, "
+                          "l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+                          ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    rows = {r.file: r for r in scores.file_facts(spark, str(tmp_path)).collect()}
+    assert (rows[2].max_cc, rows[2].cc_tenths, rows[2].max_depth, rows[2].n_lines, rows[2].doc_tenths) == (1, 10, 0, 0, 0)
+    got = scores.summary(scores.scored(scores.file_facts(spark, str(tmp_path)))).first()
+    assert (got.n_files, got.n_production, got.avg_cc, got.avg_doc) == (2, 2, 13.0, 50.0)
 
 
 def test_summary_without_files(spark):
