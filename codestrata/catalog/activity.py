@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
+from ..functions import text as tx
 from ..session import read_table
 from .base import Registry
 
 R = Registry()
 
+_KEY = f"lower(regexp_replace(event_type, '^{tx.BLANK}+|{tx.BLANK}+$', '', 'g'))"
 
-@R.query("grouped_issues", """
-SELECT lower(trim(event_type)) AS message, count(*) AS n, count(DISTINCT user_id) AS n_files, min(event_id) AS first_event
+
+@R.query("grouped_issues", f"""
+SELECT {_KEY} AS message, count(*) AS n, count(DISTINCT user_id) AS n_files, min(event_id) AS first_event
 FROM events GROUP BY 1""")
 def grouped_issues(spark, sf_dir):
     """Issues by message. Grouped by message and file first, so that a hot message is counted in parts."""
@@ -19,22 +22,22 @@ def grouped_issues(spark, sf_dir):
         F.sum("n").alias("n"), F.count("file").alias("n_files"), F.min("first_event").alias("first_event"))
 
 
-@R.query("affected_files", """
-SELECT lower(trim(event_type)) AS message, user_id AS file, count(*) AS n, min(event_id) AS first_event FROM events GROUP BY 1, 2""")
+@R.query("affected_files", f"""
+SELECT {_KEY} AS message, user_id AS file, count(*) AS n, min(event_id) AS first_event FROM events GROUP BY 1, 2""")
 def affected_files(spark, sf_dir):
     """Files under each message with the first issue in each: the list in long form, as its length has no bound."""
     return read_table(spark, sf_dir, "events").groupBy(
-        F.lower(F.trim("event_type")).alias("message"), F.col("user_id").alias("file")).agg(
+        tx.message_key(F.col("event_type")).alias("message"), F.col("user_id").alias("file")).agg(
         F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"))
 
 
-@R.query("top_issues", """
-SELECT lower(trim(event_type)) AS message, max(value) AS confidence, count(*) AS n FROM events WHERE value >= 10 GROUP BY 1
+@R.query("top_issues", f"""
+SELECT {_KEY} AS message, max(value) AS confidence, count(*) AS n FROM events WHERE value >= 10 GROUP BY 1
 ORDER BY confidence DESC, n DESC, message LIMIT 5""")
 def top_issues(spark, sf_dir):
     """The five issues with the highest confidence, then count."""
     e = read_table(spark, sf_dir, "events").filter("value >= 10")
-    return e.groupBy(F.lower(F.trim("event_type")).alias("message")).agg(
+    return e.groupBy(tx.message_key(F.col("event_type")).alias("message")).agg(
         F.max("value").alias("confidence"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("confidence"), F.desc("n"), "message").limit(5)
 
 
@@ -161,34 +164,56 @@ def cached_results(spark, sf_dir):
     return h.join(known, "digest", "left").select("doc_id", "digest", F.coalesce("known", F.lit(False)).alias("hit"))
 
 
-@R.query("language_lines", """
-WITH l AS (SELECT lang, CAST(sum(len(text) - len(replace(text, chr(10), '')) + 1) AS BIGINT) AS n_lines FROM documents WHERE text <> '' GROUP BY lang)
+@R.query("language_lines", rf"""
+WITH raw AS (SELECT lang, string_split_regex(text, '{tx.LINE_BREAK}') AS parts FROM documents WHERE text <> ''),
+l AS (SELECT lang, CAST(sum(CASE WHEN parts[-1] = '' THEN len(parts) - 1 ELSE len(parts) END) AS BIGINT) AS n_lines FROM raw GROUP BY lang)
 SELECT lang, n_lines, n_lines * 100.0 / sum(n_lines) OVER () AS share FROM l""")
 def language_lines(spark, sf_dir):
     """Lines per language and their share in percent, over one row per language."""
-    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
-    per = read_table(spark, sf_dir, "documents").filter("text <> ''").groupBy("lang").agg(F.sum(lines).cast("long").alias("n_lines"))
+    per = read_table(spark, sf_dir, "documents").filter("text <> ''").groupBy("lang").agg(
+        F.sum(tx.line_count(F.col("text"))).cast("long").alias("n_lines"))
     total = per.agg(F.sum("n_lines").alias("total"))        # one row
     return per.crossJoin(F.broadcast(total)).select("lang", "n_lines", (F.col("n_lines") * 100 / F.col("total")).alias("share"))
 
 
-@R.query("url_checks", r"""
-WITH u AS (SELECT page_id, url, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host,
- regexp_extract(url, '^[a-z]+://[^/?#]*/?([^?#]*)', 1) AS path FROM pages)
-SELECT page_id, CASE WHEN url IS NULL OR url = '' THEN 'empty' WHEN length(url) > 512 THEN 'too long' WHEN scheme <> 'https' THEN 'not https'
- WHEN host = '' THEN 'no host' WHEN contains(host, '@') THEN 'credentials'
- WHEN regexp_matches(host, '^(localhost|127\.|10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)') THEN 'private'
- WHEN path = '' THEN 'no path' ELSE 'ok' END AS verdict FROM u""")
+# The longest address, and literal addresses that are private, local, reserved or sent to many.
+_LONGEST = 512
+_OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_QUAD = rf"^{_OCTET}(\.{_OCTET}){{3}}$"
+_NO_FETCH = (r"^(0|10|127|22[4-9]|23[0-9]|24[0-9]|25[0-5])\.|^169\.254\.|^172\.(1[6-9]|2[0-9]|3[01])\.|^192\.168\.|^192\.0\.[02]\.|"
+             r"^198\.(1[89])\.|^198\.51\.100\.|^203\.0\.113\.")
+_NO_FETCH_6 = r"^\[(::1?|::ffff:[^\]]*|f[cd][0-9a-f]{2}:[^\]]*|fe[89ab][0-9a-f]:[^\]]*|ff[0-9a-f]{2}:[^\]]*|2001:db8:[^\]]*)\]$"
+# the hosts that may be fetched from; a parameter
+HOSTS = ("spam-farm.example.org", "thin.example.com", "thther.example.org", "therin.example.net", "ththin.example.com", "m.therou.example.com")
+_HOSTS = ", ".join(f"'{h}'" for h in HOSTS)
+
+
+@R.query("url_checks", rf"""
+WITH t AS (SELECT page_id, regexp_replace(coalesce(url, ''), '^{tx.BLANK}+|{tx.BLANK}+$', '', 'g') AS url FROM pages),
+u AS (SELECT page_id, url, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme,
+ regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS place, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM t),
+h AS (SELECT *, lower(regexp_extract(place, '(?:^|@)(\[[^\]]*\]|[^:@]*)(?::[0-9]*)?$', 1)) AS host FROM u)
+SELECT page_id, CASE WHEN url = '' THEN 'empty' WHEN length(url) > {_LONGEST} THEN 'too long' WHEN scheme <> 'https' THEN 'not https'
+ WHEN contains(place, '@') AND regexp_extract(place, '^(.*)@', 1) NOT IN ('', ':') THEN 'credentials' WHEN host = '' THEN 'no host'
+ WHEN (regexp_matches(host, '{_QUAD}') AND regexp_matches(host, '{_NO_FETCH}')) OR regexp_matches(host, '{_NO_FETCH_6}') THEN 'private'
+ WHEN host NOT IN ({_HOSTS}) THEN 'not allowed' WHEN replace(path, '/', '') = '' THEN 'no path' ELSE 'ok' END AS verdict FROM h""")
 def url_checks(spark, sf_dir):
     """Whether each page's address is one that may be fetched, or the first rule that it breaks."""
-    url = F.col("url")
-    scheme, host = F.regexp_extract(url, "^([a-z]+)://", 1), F.regexp_extract(url, "^[a-z]+://([^/?#]*)", 1)
-    path = F.regexp_extract(url, "^[a-z]+://[^/?#]*/?([^?#]*)", 1)
-    private = host.rlike(r"^(localhost|127\.|10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)")
-    verdict = (F.when(url.isNull() | (url == ""), "empty").when(F.length(url) > 512, "too long").when(scheme != "https", "not https")
-               .when(host == "", "no host").when(F.contains(host, F.lit("@")), "credentials").when(private, "private")
-               .when(path == "", "no path").otherwise("ok"))
-    return read_table(spark, sf_dir, "pages").select("page_id", verdict.alias("verdict"))
+    return read_table(spark, sf_dir, "pages").select("page_id", url_verdict(F.col("url"), HOSTS).alias("verdict"))
+
+
+def url_verdict(url, hosts):
+    """ok, or the first rule that an address breaks; only https on one of ``hosts``, without credentials and with a path."""
+    url = tx.strip(F.coalesce(url, F.lit("")))
+    scheme = F.lower(F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
+    place = F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+    path = F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    host = F.lower(F.regexp_extract(place, r"(?:^|@)(\[[^\]]*\]|[^:@]*)(?::[0-9]*)?$", 1))
+    private = (host.rlike(_QUAD) & host.rlike(_NO_FETCH)) | host.rlike(_NO_FETCH_6)
+    named = F.contains(place, F.lit("@")) & ~F.regexp_extract(place, "^(.*)@", 1).isin("", ":")
+    return (F.when(url == "", "empty").when(F.length(url) > _LONGEST, "too long").when(scheme != "https", "not https")
+            .when(named, "credentials").when(host == "", "no host").when(private, "private").when(~host.isin(*hosts), "not allowed")
+            .when(F.replace(path, F.lit("/"), F.lit("")) == "", "no path").otherwise("ok"))
 
 
 @R.query("page_paths", r"""
@@ -201,11 +226,26 @@ def page_paths(spark, sf_dir):
         "page_id", path.alias("path"), F.regexp_extract(path, "([^/]*)$", 1).alias("base"), F.replace(path, F.lit("/"), F.lit(".")).alias("module"))
 
 
-@R.query("credential_lines", r"""
-SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
-WHERE regexp_matches(line, '(?i)[a-z_]*(password|passwd|secret|token|api_key|apikey)[a-z_]*\s*[=:]\s*["''][^"'']+["'']') GROUP BY doc_id""")
+# What a name that holds a credential has in it.
+CREDENTIALS = ("password", "passwd", "secret", "api_key", "apikey", "token", "access_key", "private_key", "client_secret", "auth_token")
+_NAMES = "|".join(CREDENTIALS)
+# a name of at most a hundred letters, so that no long run of letters is read over and over
+_SET = r"""([A-Za-z_][A-Za-z0-9_]{0,99})\s{0,20}[=:]\s{0,20}(?:"[^"]+"|'[^']+')"""
+_SET_SQL = _SET.replace("'", "''")
+
+
+@R.query("credential_lines", rf"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+n AS (SELECT doc_id, pos, unnest(regexp_extract_all(line, '{_SET_SQL}', 1)) AS name FROM l)
+SELECT doc_id, CAST(pos AS INTEGER) AS line, name FROM n WHERE regexp_matches(lower(name), '{_NAMES}')""")
 def credential_lines(spark, sf_dir):
-    """Lines of each document that set a credential to a quoted text."""
-    lines = read_table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    hit = F.col("line").rlike(r"""(?i)[a-z_]*(password|passwd|secret|token|api_key|apikey)[a-z_]*\s*[=:]\s*["'][^"']+["']""")
-    return lines.filter(hit).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    """Names that a line of a document sets to a quoted text and that speak of a credential."""
+    return credentials(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def credentials(docs):
+    """(doc_id, line, name). Only documents and lines that have a credential's word and a quote are looked at closely."""
+    near = lambda c: F.lower(c).rlike(_NAMES) & c.rlike("[\"']")
+    lines = docs.filter(near(F.col("text"))).select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "row")).filter(near(F.col("row")))
+    names = F.filter(F.regexp_extract_all("row", F.lit(_SET), 1), lambda n: F.lower(n).rlike(_NAMES))
+    return lines.select("doc_id", (F.col("at") + 1).cast("int").alias("line"), F.explode(names).alias("name"))

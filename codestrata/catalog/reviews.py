@@ -223,10 +223,10 @@ def detector_ratios(spark, sf_dir):
 
 
 @R.query("first_seen_parts", r"""
-SELECT regexp_replace(lower(p_name), '[-_. ]+', '-', 'g') AS name, lower(p_type) AS kind, min(p_partkey) AS first_part, count(*) AS n
+SELECT regexp_replace(lower(p_name), '[-_.]+', '-', 'g') AS name, lower(p_type) AS kind, min(p_partkey) AS first_part, count(*) AS n
 FROM part GROUP BY 1, 2""")
 def first_seen_parts(spark, sf_dir):
     """Parts once per normalized name and type, the first one standing for all."""
     return read_table(spark, sf_dir, "part").groupBy(
-        F.regexp_replace(F.lower("p_name"), "[-_. ]+", "-").alias("name"), F.lower("p_type").alias("kind")).agg(
+        F.regexp_replace(F.lower("p_name"), "[-_.]+", "-").alias("name"), F.lower("p_type").alias("kind")).agg(
         F.min("p_partkey").alias("first_part"), F.count(F.lit(1)).alias("n"))

@@ -43,8 +43,8 @@ def half_even(total: Column, n: Column) -> Column:
     return whole + up.cast("long")
 
 
-def file_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per file: complexity, depth, findings, documentation, lines, role and type.
+def file_facts(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """One row per file, or per file of ``only``: complexity, depth, findings, documentation, lines, role and type.
 
     A file without functions has the complexity 1 of its own code, and none of anything else.
     """
@@ -53,6 +53,8 @@ def file_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("file"), F.col("l_quantity").cast("long").alias("quantity"),
         (F.col("l_returnflag") == "R").alias("recursive"), (F.col("l_returnflag") != "N").cast("long").alias("documented"),
         (F.floor("l_extendedprice") % 4).alias("depth"), cents("l_discount").alias("severity"), cents("l_tax").alias("other"))
+    if only is not None:
+        items = items.join(only.select("file"), "file", "left_semi")
     cc = F.col("quantity") % 25 + 1
     per_file = items.groupBy("file").agg(
         F.count(F.lit(1)).alias("n_functions"), F.sum(cc).alias("cc_sum"), F.max(cc).alias("max_cc"),
@@ -63,6 +65,8 @@ def file_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.substring("o_orderpriority", 1, 1)
     files = read_table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("file"), pick(first, ROLES, "utility").alias("role"), pick(first, TYPES, "production").alias("file_type"))
+    if only is not None:
+        files = files.join(only.select("file"), "file", "left_semi")
     none = {c: 0 for c in ("n_functions", "max_depth", "n_lines", "documented", "n_structural", *SEVERITY_POINTS)}
     facts = files.join(per_file, "file", "left").na.fill(none | {"max_cc": 1, "recursive": False})
     return (
