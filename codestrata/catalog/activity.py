@@ -217,13 +217,14 @@ def url_verdict(url, hosts):
 
 
 @R.query("page_paths", r"""
-WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*/?([^?#]*)', 1) AS path FROM pages)
-SELECT page_id, path, regexp_extract(path, '([^/]*)$', 1) AS base, replace(path, '/', '.') AS module FROM p""")
+WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*/?([^?#]*)', 1) AS path FROM pages),
+k AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(replace(path, '\', '/'), '\.py$', ''), '/+', '/', 'g'), '^/|/$', '', 'g') AS key FROM p)
+SELECT page_id, path, regexp_extract(replace(path, '\', '/'), '([^/]*)$', 1) AS base, replace(regexp_replace(key, '(^|/)__init__$', ''), '/', '.') AS module FROM k""")
 def page_paths(spark, sf_dir):
     """Path, base name and module key of each page's address."""
     path = F.regexp_extract("url", "^[a-z]+://[^/?#]*/?([^?#]*)", 1)
     return read_table(spark, sf_dir, "pages").select(
-        "page_id", path.alias("path"), F.regexp_extract(path, "([^/]*)$", 1).alias("base"), F.replace(path, F.lit("/"), F.lit(".")).alias("module"))
+        "page_id", path.alias("path"), tx.base_name(tx.slashed(path)).alias("base"), tx.module_key(path).alias("module"))
 
 
 # What a name that holds a credential has in it.

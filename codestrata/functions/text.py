@@ -53,13 +53,6 @@ def slashed(path: Column) -> Column:
     return F.replace(path, F.lit("\\"), F.lit("/"))
 
 
-def extension(path: Column) -> Column:
-    """Lower-case extension with its dot; leading dots of the name do not count."""
-    return F.coalesce(
-        F.nullif(F.regexp_extract(F.lower(base_name(path)), r"^\.*[^.].*?(\.[^.]*)$", 1), F.lit("")), F.lit("")
-    )
-
-
 def module_key(path: Column) -> Column:
     """Dotted module key of a path: pkg/core/a.py -> pkg.core.a, pkg/__init__.py -> pkg."""
     key = F.regexp_replace(slashed(path), r"\.py$", "")
@@ -68,10 +61,5 @@ def module_key(path: Column) -> Column:
     return F.replace(key, F.lit("/"), F.lit("."))
 
 
-def half_even(value: Column, digits: int = 0) -> Column:
-    """Round half to even, as a double."""
-    return F.bround(value, digits)
-
-
 def message_key(message: Column) -> Column:
     return F.lower(strip(message))

@@ -4,7 +4,7 @@ import time
 
 import pytest
 
-from codestrata.catalog import activity
+from codestrata.catalog import activity, rules
 
 HOSTS = ("github.com", "git.example.org", "10.0.0.5", "127.0.0.1", "[::1]", "169.254.169.254", "0.0.0.0", "224.0.0.1", "8.8.8.8", "10.example.com")
 
@@ -30,3 +30,21 @@ def test_credentials(spark):
     got = sorted(tuple(r) for r in activity.credentials(spark.createDataFrame(texts, "doc_id long, text string")).collect())
     assert got == [(1, 2, "DB_PASSWORD"), (2, 1, "api_key"), (2, 1, "secret"), (7, 1, "Access_Key")]
     assert time.time() - began < 60         # long runs of letters are read about once
+
+
+@pytest.mark.parametrize("path,want", [
+    ("src/tests/a.py", "test"), ("src\\tests\\a.py", "test"), ("test_a.py", "test"), ("a_test.py", "test"), ("x/conftest.py", "test"), ("src/cli.py", "cli_parser"),
+    ("src/CMD_run.py", "cli_parser"), ("src/user_model.py", "data_model"), ("src/models/user.py", "utility"), ("contest.py", "utility"), ("src/command_model.py", "cli_parser"),
+])
+def test_role(spark, path, want):
+    row = spark.createDataFrame([(path,)], "path string")
+    assert row.select(rules.role(row["path"]).alias("v")).first().v == want
+
+
+@pytest.mark.parametrize("text,want", [
+    ("SELECT id FROM t", True), ("  (select 1 from t)", True), ("Select a file to open", False), ("Please select from the menu", False), ("UPDATE t SET a = 1", True),
+    ("update your settings", False), ("with x as (\nselect 1\n) select * from x", True), ("DROP TABLE t", False), ("insert into t values (1)", True), (None, None),
+])
+def test_sql_shape(spark, text, want):
+    row = spark.createDataFrame([(text,)], "text string")
+    assert row.select(rules.like_sql(row["text"]).alias("v")).first().v == want
