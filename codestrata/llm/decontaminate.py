@@ -4,7 +4,7 @@ A document holds an item if one of its substrings is within MAX_EDITS percent of
 item's length in edit distance, both in lower case with single blanks.
 
 Windows as large as the item are laid over the document wherever a run of three words,
-or of two long ones, agrees with one of the item, aligned by it. The CGK walk maps each window and each item
+two long ones side by side, or two long ones with a third between them agree with the item's, aligned by them. The CGK walk maps each window and each item
 to strings of three times their length, on which a small edit distance has become a
 small Hamming distance: it reads the text letter by letter, and whether it moves on
 after a letter is settled by a random bit for that letter and step. Sampled places of
@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame, functions as F
 from .common import STEP, arrow_map, hash_texts, raw, shingle_hashes
 
 MAX_EDITS = 15          # percent of the item's length
-# Words that have to agree somewhere: (run of so many words, with so many bytes at least).
-# Runs of short words are everywhere; two words count as a seed only if they are long.
-SEEDS = ((3, 0), (2, 9))
+# Words that have to agree somewhere: (places of the words, bytes they have at least).
+# Short words are everywhere; two words count as a seed only if they are long. The gap is for edits in every other word.
+SEEDS = (((0, 1, 2), 0), ((0, 1), 9), ((0, 2), 9))
 WALKS = 8               # independent embeddings
 TABLES = 12             # hash keys from each
 BITS = 2                # sampled places in a key
@@ -92,6 +92,14 @@ def search(item: bytes, text: bytes, most: int) -> int:
     return min(best, most + 1)
 
 
+def seed_hashes(h: np.ndarray, at: tuple[int, ...]) -> np.ndarray:
+    """Hash of the words at the places ``at`` from each word on."""
+    n = max(0, len(h) - at[-1])
+    picked = np.stack([h[k:k + n] for k in at], axis=1).reshape(-1)
+    # every len(at)-th run of the words laid side by side; the gap goes into the hash
+    return shingle_hashes(picked, len(at))[::len(at)] + at[-1] if n else np.zeros(0, np.int64)
+
+
 class Items:
     """Seeds, sampled embeddings and texts of a bounded slice of items."""
 
@@ -104,27 +112,26 @@ class Items:
         hashes = hash_texts(self.texts)
         self.most = [len(t) * MAX_EDITS // 100 for t in self.texts]
         self.width = max((2 * len(t) for t in self.texts), default=0) + 1
-        self.seeds = []                     # by width: sorted hashes, their items and offsets, filter
-        for width in (3, 2, 1):
+        self.seeds = []                     # by places: sorted hashes, their items and offsets, filter
+        for places_of, least in (*SEEDS, ((0,), 0)):
             h, of, off = [], [], []
             for i, (_, w) in enumerate(words):
-                # an item too short for any run is its own seed
-                least = [n for k, n in SEEDS if k == width] or ([0] if len(w) == width else [])
-                if len(w) < width or not least:
+                # an item too short for any seed is its own
+                whole = len(w) == len(places_of) and places_of[-1] == len(w) - 1
+                if len(w) <= places_of[-1] or (len(places_of) == 1 and not whole):
                     continue
-                if len(w) == width:
-                    least = [0]
-                long = np.convolve([len(x) for x in w], np.ones(width, np.int64), "valid") >= least[0]
-                got = shingle_hashes(hashes[i], width)
-                h.append(got[long])
-                of.append(np.full(len(got), i)[long])
-                off.append(np.arange(len(got))[long])
+                sizes = np.array([len(x) for x in w])
+                n = len(w) - places_of[-1]
+                long = sum(sizes[k:k + n] for k in places_of) >= (0 if whole else least)
+                h.append(seed_hashes(hashes[i], places_of)[long])
+                of.append(np.full(n, i)[long])
+                off.append(np.arange(n)[long])
             if h:
                 h, of, off = np.concatenate(h), np.concatenate(of), np.concatenate(off)
                 order = np.argsort(h, kind="stable")
                 seen = np.zeros(FILTER, bool)
                 seen[h & (FILTER - 1)] = True
-                self.seeds.append((width, h[order], of[order], off[order], seen))
+                self.seeds.append((places_of, h[order], of[order], off[order], seen))
         self.sampled = []
         for seed in range(WALKS):
             at = places(self.texts, seed)
@@ -134,10 +141,8 @@ class Items:
     def windows(self, h: np.ndarray) -> list[tuple[int, int]]:
         """(item, first word) of the windows to look at in a text with the word hashes ``h``."""
         found = set()
-        for width, keys, of, off, seen in self.seeds:
-            if len(h) < width:
-                continue
-            got = shingle_hashes(h, width)
+        for places_of, keys, of, off, seen in self.seeds:
+            got = seed_hashes(h, places_of)
             at = np.flatnonzero(seen[got & (FILTER - 1)])
             first = np.searchsorted(keys, got[at], "left")
             last = np.searchsorted(keys, got[at], "right")

@@ -8,11 +8,12 @@ as well, and sets for which that fails leave early. For the others:
 * Sets whose tokens are held by more than CROWD sets are members of a large family. They are
   grouped under OTHER_KEYS further hashes and linked within these groups, so that a family
   has one name, but for few of its sets, before it meets the matrix.
-* Similar sets are put into groups of some BLOCK, by their least token, and all links
-  within a group are found.
-* The matrix has a row for each token and group whose union holds it. A set asks it for
-  its rarest tokens, as many as it may miss and one more, and so gets every group that
-  can hold a partner in another component.
+* Similar sets are put into groups of some BLOCK, a family's by its name, others by their
+  least token, and all links within a group are found.
+* The matrix has a row for each token, group whose union holds it, and class of set sizes
+  that hold it there. A set asks it for its rarest tokens, as many as it may miss and one
+  more, in its own size class and the two beside it, and so gets every group that can hold a
+  partner in another component.
 * The set is sent to these groups. Where its overlap with the group's union, which
   bounds that with every member, is large enough, the group is opened and its members
   are compared.
@@ -45,6 +46,12 @@ def need(n, percent: int):
     return -(-n * percent // 100)
 
 
+def size_class(n: np.ndarray, percent: int) -> np.ndarray:
+    """Class of a set's size; linked sets are at most one class apart."""
+    # a little wider than the ratio of linked sizes, so that rounding doesn't part them
+    return np.floor(np.log(np.maximum(n, 1)) / (max(np.log(100 / percent), 1e-3) * 1.0001)).astype(np.int64)
+
+
 def token_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of texts; of fewer words than ``width`` all make one shingle."""
     return [np.unique(shingle_hashes(h, min(width, len(h)))) if len(h) else h
@@ -92,7 +99,7 @@ def samples(docs: DataFrame, width: int, percent: int, maybe=None) -> DataFrame:
 def candidates(docs: DataFrame, leaders: DataFrame, width: int, percent: int) -> DataFrame:
     """(doc_id, d, key, crowded, others) of the sets that may have a partner of another content.
 
-    crowded: most of the set's shared sample tokens are a family's. others: its least tokens under further hashes.
+    crowded: as many of the set's sample tokens as a partner must have are a family's. others: its least tokens under further hashes.
     """
     shared = materialize(
         samples(docs, width, percent).groupBy("token").agg(
@@ -103,7 +110,7 @@ def candidates(docs: DataFrame, leaders: DataFrame, width: int, percent: int) ->
     found = samples(docs, width, percent, maybe).join(shared, "token").groupBy("doc_id", "d").agg(
         F.count(F.lit(1)).alias("hits"), F.first("least").alias("least"), F.first("key").alias("key"),
         F.count_if("crowd").alias("crowds"), F.array(*others).alias("others"))
-    return found.filter("hits >= least").select("doc_id", "d", "key", (2 * F.col("crowds") >= F.col("hits")).alias("crowded"), "others").join(
+    return found.filter("hits >= least").select("doc_id", "d", "key", (F.col("crowds") >= F.col("least")).alias("crowded"), "others").join(
         leaders, ["doc_id", "d"], "left_semi")
 
 
@@ -213,10 +220,10 @@ def common_names(cid: np.ndarray, name: np.ndarray) -> np.ndarray:
 
 
 def group_sets(sets: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, cid, key, part, tokens, matrix, lo, hi): every set with its component as its group knows it.
+    """(doc_id, cid, key, part, tokens, matrix, sizes, lo, hi): every set with its component as its group knows it.
 
     ``sets`` have a name, equal for sets already known to be connected. One row of each group also has the group's row of the matrix: the union of its
-    tokens, each with the least and the greatest component that has it.
+    tokens by size class, each with the least and the greatest component that has it.
     """
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("doc_id")
@@ -225,20 +232,22 @@ def group_sets(sets: DataFrame, percent: int) -> DataFrame:
         cid = common_names(link_block(docs, _sets(table["tokens"]), percent), name) if len(docs) > 1 else name
         out = table.append_column("cid", pa.array(cid, pa.int64())).filter(pa.array(~lead)).select(
             ["doc_id", "cid", "key", "part", "tokens"])
-        if not out.num_rows:
-            return out.append_column("matrix", out["tokens"]).append_column("lo", out["tokens"]).append_column("hi", out["tokens"])
-        own = _sets(out["tokens"])
-        flat, names = np.concatenate(own), np.repeat(out["cid"].to_numpy(), [len(s) for s in own])
-        order = np.lexsort((names, flat))
-        flat, names = flat[order], names[order]
-        first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
-        last = np.append(first[1:], len(flat)) - 1
-        for name, v in (("matrix", flat[first]), ("lo", names[first]), ("hi", names[last])):
-            out = out.append_column(name, pa.array([v] + [None] * (out.num_rows - 1), pa.list_(pa.int64())))
+        columns: dict[str, np.ndarray] = {n: np.zeros(0, np.int64) for n in ("matrix", "sizes", "lo", "hi")}
+        if out.num_rows:
+            own = _sets(out["tokens"])
+            n = np.array([len(s) for s in own])
+            flat, names, sizes = np.concatenate(own), np.repeat(out["cid"].to_numpy(), n), np.repeat(size_class(n, percent), n)
+            order = np.lexsort((names, sizes, flat))
+            flat, sizes, names = flat[order], sizes[order], names[order]
+            first = np.flatnonzero(np.append(True, (flat[1:] != flat[:-1]) | (sizes[1:] != sizes[:-1])))
+            last = np.append(first[1:], len(flat)) - 1
+            columns = {"matrix": flat[first], "sizes": sizes[first], "lo": names[first], "hi": names[last]}
+        for name, v in columns.items():
+            out = out.append_column(name, pa.array(([v] + [None] * (out.num_rows - 1))[:out.num_rows], pa.list_(pa.int64())))
         return out
 
     return sets.groupBy("key", "part").applyInArrow(
-        run, "doc_id long, cid long, key long, part int, tokens array<long>, matrix array<long>, lo array<long>, hi array<long>")
+        run, "doc_id long, cid long, key long, part int, tokens array<long>, matrix array<long>, sizes array<long>, lo array<long>, hi array<long>")
 
 
 def narrowed(rows: DataFrame, maybe, column: str = "id") -> DataFrame:
@@ -253,11 +262,12 @@ def narrowed(rows: DataFrame, maybe, column: str = "id") -> DataFrame:
 def cross_links(grouped: DataFrame, percent: int) -> DataFrame:
     """(u, v): components of different groups that links join; enough of them, not all."""
     share = grouped.sparkSession.sparkContext.broadcast
-    matrix = grouped.filter("matrix is not null").select("key", "part", F.explode(F.arrays_zip("matrix", "lo", "hi")).alias("m")).select(
-        F.col("m.matrix").alias("token"), "key", "part", "m.lo", "m.hi")
+    matrix = grouped.filter("matrix is not null").select("key", "part", F.explode(F.arrays_zip("matrix", "sizes", "lo", "hi")).alias("m")).select(
+        F.col("m.matrix").alias("token"), F.col("m.sizes").alias("size"), "key", "part", "m.lo", "m.hi")
+    group = F.xxhash64("key", "part")
     rare = matrix.groupBy("token").agg(
-        F.min("lo").alias("least"), F.max("hi").alias("most"), F.count(F.lit(1)).alias("groups")
-    ).filter("least <> most and groups > 1").select("token", "groups")
+        F.min("lo").alias("least"), F.max("hi").alias("most"), F.count(F.lit(1)).alias("groups"), F.min(group).alias("one"), F.max(group).alias("other")
+    ).filter("least <> most and one <> other").select("token", "groups")
     rare = materialize(rare, "shared-tokens")
     common = share(bit_filter(rare, "token"))
     shared = materialize(narrowed(matrix, common, "token").join(rare, "token"), "token-groups")
@@ -278,7 +288,7 @@ def cross_links(grouped: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             rows = zip(*(batch[n].to_pylist() for n in ("doc_id", "cid", "key", "part")),
                        *(_sets(batch[n]) for n in ("tokens", "asked", "groups")))
-            out = {k: [] for k in ("doc_id", "cid", "key", "part", "token")}
+            out = {k: [] for k in ("doc_id", "cid", "key", "part", "size", "token")}
             for doc, cid, key, part, tokens, asked, groups in rows:
                 order = np.argsort(asked)
                 asked, groups = asked[order], groups[order]
@@ -290,17 +300,18 @@ def cross_links(grouped: DataFrame, percent: int) -> DataFrame:
                 if len(known) < least:
                     continue
                 took = known[np.lexsort((known, n))[:len(known) - least + 1]]
-                for k, v in zip(out, (doc, cid, key, part)):
+                for k, v in zip(out, (doc, cid, key, part, int(size_class(np.array(len(tokens)), percent)))):
                     out[k] += [v] * len(took)
                 out["token"] += took.tolist()
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out.values()], names=list(out))
 
-    probes = materialize(held.mapInArrow(probe, "doc_id long, cid long, key long, part long, token long"), "set-probes")
-    targets = shared.select("token", F.col("key").alias("to_key"), F.col("part").alias("to_part"), "lo")
+    probes = materialize(held.mapInArrow(probe, "doc_id long, cid long, key long, part long, size long, token long"), "set-probes")
+    targets = shared.select("token", "size", F.col("key").alias("to_key"), F.col("part").alias("to_part"), "lo")
     # Sets of one group ask together. A linked pair finds itself from either side, so the
     # side of the larger name asks.
     pairs = (
-        probes.groupBy("key", "part", "token").agg(F.max("cid").alias("cid")).join(targets, "token")
+        probes.groupBy("key", "part", "size", "token").agg(F.max("cid").alias("cid"))
+        .withColumn("size", F.explode(F.sequence(F.col("size") - 1, F.col("size") + 1))).join(targets, ["token", "size"])
         .filter("lo < cid and (key <> to_key or part <> to_part)")
         .groupBy("key", "part", "to_key", "to_part").agg(F.min("lo").alias("lo")))
     asks = materialize(
@@ -365,10 +376,12 @@ def join_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
 
     chosen = materialize(candidates(docs, leaders, width, percent), "set-candidates")
     crowd = chosen.filter("crowded").select("doc_id", "d", F.explode("others").alias("key"))
+    crowd = crowd.join(crowd.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "key", "left_semi").select("doc_id", "d", "key")
     links = family_links(placed_sets(docs, materialize(places(crowd), "family-places"), width), percent)
     families = components(links)
-    placed = places(chosen.select("doc_id", "d", "key")).join(families.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed = materialize(placed.withColumn("name", F.coalesce("component", "doc_id")).drop("component"), "set-places")
+    named = chosen.select("doc_id", "d", "key").join(families.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    named = materialize(named.select("doc_id", "d", F.when(F.col("component").isNull(), F.col("key")).otherwise(F.xxhash64("component")).alias("key"), F.coalesce("component", "doc_id").alias("name")), "set-names")
+    placed = materialize(places(named.drop("name")).join(named.select("doc_id", "name").distinct(), "doc_id"), "set-places")
     grouped = materialize(group_sets(placed_sets(docs, placed, width), percent), "set-groups")
     inner = grouped.select(F.col("doc_id").alias("u"), F.col("cid").alias("v"))
     # rows of one doc_id, and its copies of other sets, meet in their doc_id
