@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def registries() -> list:
-    from . import activity, architecture, calls, documents, graphs, lookups, reviews, rules, state, streams
+    from . import activity, architecture, calls, dependencies, documents, graphs, lookups, reviews, rules, state, streams
 
-    return [documents.R, reviews.R, activity.R, state.R, graphs.R, streams.R, lookups.R, calls.R, architecture.R, rules.R]
+    return [documents.R, reviews.R, activity.R, state.R, graphs.R, streams.R, lookups.R, calls.R, architecture.R, rules.R, dependencies.R]
