@@ -128,3 +128,35 @@ def test_long_words_count_apart(spark):
     docs = [(1, "a" + "x" * 1023 + "b"), (2, "b" + "x" * 1023 + "a")]
     got = {r.doc_id: r.n_known for r in ppm.score_documents(spark.createDataFrame(docs, "doc_id long, text string"), F.col("doc_id") == 1).collect()}
     assert got == {1: 2, 2: 1}          # the end is known, the other document's word isn't
+
+
+def test_items_with_spread_and_clustered_edits():
+    """Edits in every other or third word, in one place, at random; within the limit by the exact search."""
+    rng = random.Random(3)
+    voc = ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 9))) for _ in range(900)]
+    items = [(k, " ".join(rng.choice(voc) for _ in range(rng.randint(15, 50)))) for k in range(80)]
+    held = decontaminate.Items(items)
+
+    def spread(text, every):
+        w = text.split()
+        for k in range(0, len(w), every):
+            at = rng.randrange(len(w[k]))
+            w[k] = w[k][:at] + "z" + w[k][at + 1:]
+        return " ".join(w)
+
+    def clustered(text):
+        n = len(text) * 12 // 100
+        at = rng.randrange(len(text) - n)
+        return text[:at] + "z" * n + text[at + n:]
+
+    def scattered(text):
+        s = list(text)
+        for _ in range(len(s) * 10 // 100):
+            s[rng.randrange(len(s))] = rng.choice("xyz")
+        return "".join(s)
+
+    for name, edit in (("every other", lambda t: spread(t, 2)), ("every third", lambda t: spread(t, 3)), ("one place", clustered), ("anywhere", scattered)):
+        texts = [(k, f"words before {edit(t)} words behind") for k, t in items]
+        near = [(k, x) for k, x in texts if decontaminate.search(y := " ".join(dict(items)[k].split()).encode(), x.encode(), len(y) * 15 // 100) <= len(y) * 15 // 100]
+        got = {(p, k) for p, k, _ in held.matches([x for _, x in near])}
+        assert len(near) > 40 and sum((p, k) in got for p, (k, _) in enumerate(near)) >= 0.9 * len(near), name
