@@ -1,7 +1,8 @@
 """Call resolution and incremental runs.
 
 A customer stands for a definition: its nation is the module, its market segment the class (none where the account is
-overdrawn), its last two digits the name. An order is a call from its customer's place, of its own last two digits.
+overdrawn), its last three digits the name. An order is a call from its customer's place, of its own last three digits; an
+urgent one is code that runs.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ from .reviews import FACTS, _even
 R = Registry()
 
 SQL_CALLS = """
-d AS (SELECT c_custkey AS def_id, c_nationkey AS module, CASE WHEN c_acctbal >= 0 THEN c_mktsegment END AS class, c_custkey % 100 AS name FROM customer),
-c AS (SELECT o_orderkey AS call_id, d.module, d.class, o_orderkey % 100 AS name,
-      CASE o_orderstatus WHEN 'F' THEN 'name' WHEN 'O' THEN 'self' ELSE 'attr' END AS kind FROM orders JOIN d ON def_id = o_custkey),
+d AS (SELECT c_custkey AS def_id, c_nationkey AS module, CASE WHEN c_acctbal >= 0 THEN c_mktsegment END AS class, c_custkey % 1000 AS name FROM customer),
+c AS (SELECT o_orderkey AS call_id, d.module, d.class, o_orderkey % 1000 AS name,
+      CASE o_orderstatus WHEN 'F' THEN 'name' WHEN 'O' THEN 'self' ELSE 'attr' END AS kind, o_orderpriority = '1-URGENT' AS urgent FROM orders JOIN d ON def_id = o_custkey),
 r AS (SELECT c.*, (SELECT max(def_id) FROM d WHERE d.module = c.module AND d.name = c.name AND d.class IS NULL AND kind = 'name') AS in_module,
       (SELECT max(def_id) FROM d WHERE d.module = c.module AND d.class = c.class AND d.name = c.name AND kind = 'self') AS in_class,
       (SELECT count(*) FROM d WHERE d.name = c.name) AS n, (SELECT max(def_id) FROM d WHERE d.name = c.name) AS any_def,
@@ -31,14 +32,14 @@ t AS (SELECT *, CASE WHEN in_module IS NOT NULL THEN 'module' WHEN in_class IS N
 def definitions(spark, sf_dir) -> DataFrame:
     return read_table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("def_id"), F.col("c_nationkey").alias("module"),
-        F.when(F.col("c_acctbal") >= 0, F.col("c_mktsegment")).alias("class"), (F.col("c_custkey") % 100).alias("name"))
+        F.when(F.col("c_acctbal") >= 0, F.col("c_mktsegment")).alias("class"), (F.col("c_custkey") % 1000).alias("name"))
 
 
 def call_sites(spark, sf_dir) -> DataFrame:
     places = definitions(spark, sf_dir).select(F.col("def_id").alias("o_custkey"), "module", "class")
     kind = F.when(F.col("o_orderstatus") == "F", "name").when(F.col("o_orderstatus") == "O", "self").otherwise("attr")
     return read_table(spark, sf_dir, "orders").join(places, "o_custkey").select(
-        F.col("o_orderkey").alias("call_id"), "module", "class", (F.col("o_orderkey") % 100).alias("name"), kind.alias("kind"))
+        F.col("o_orderkey").alias("call_id"), (F.col("o_orderpriority") == "1-URGENT").alias("urgent"), "module", "class", (F.col("o_orderkey") % 1000).alias("name"), kind.alias("kind"))
 
 
 @R.query("call_targets", f"""WITH {SQL_CALLS} SELECT call_id, how, coalesce(in_module, in_class, CASE WHEN n = 1 THEN any_def END) AS target,
@@ -56,10 +57,10 @@ def unique_call_targets(spark, sf_dir):
 
 @R.query("unreferenced_definitions", f"""WITH {SQL_CALLS}
 SELECT def_id, module, class, name FROM d WHERE class IS DISTINCT FROM 'BUILDING'
-AND def_id NOT IN (SELECT coalesce(in_module, in_class) FROM t WHERE how IN ('module', 'class')) AND name NOT IN (SELECT name FROM t WHERE how = 'name')""")
+AND def_id NOT IN (SELECT coalesce(in_module, in_class) FROM t WHERE how IN ('module', 'class') AND urgent) AND name NOT IN (SELECT name FROM t WHERE how = 'name' AND urgent)""")
 def unreferenced_definitions(spark, sf_dir):
-    """Definitions that nothing calls; those of one class are entry points."""
-    return calls.unreferenced(definitions(spark, sf_dir), call_sites(spark, sf_dir), F.col("class") == "BUILDING")
+    """Definitions that no code that runs calls; those of one class are entry points."""
+    return calls.unreferenced(definitions(spark, sf_dir), call_sites(spark, sf_dir).filter("urgent"), F.col("class") == "BUILDING")
 
 
 # the summary of a run over everything

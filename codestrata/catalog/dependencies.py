@@ -65,10 +65,10 @@ def dependency_tiles(spark, sf_dir):
 
 
 @R.query("unused_dependencies", r"""
-SELECT p_partkey AS dep_id, p_name AS name FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag <> 'N') AND p_type <> 'PROMO'""")
+SELECT p_partkey AS dep_id, p_name AS name FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity >= 49) AND p_type <> 'PROMO'""")
 def unused_dependencies(spark, sf_dir):
-    """Imported parts that no line refers to again, less those that are imported for their side effects."""
-    used = read_table(spark, sf_dir, "lineitem").filter("l_returnflag <> 'N'").select(F.col("l_partkey").alias("p_partkey"))
+    """Imported parts that no line of a large quantity refers to, less those that are imported for their side effects."""
+    used = read_table(spark, sf_dir, "lineitem").filter("l_quantity >= 49").select(F.col("l_partkey").alias("p_partkey"))
     return read_table(spark, sf_dir, "part").filter("p_type <> 'PROMO'").join(used, "p_partkey", "left_anti").select(F.col("p_partkey").alias("dep_id"), F.col("p_name").alias("name"))
 
 

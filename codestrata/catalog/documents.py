@@ -120,3 +120,26 @@ def duplicates_by_file(spark, sf_dir):
 SELECT (SELECT count(*) FROM pair) AS pairs, (SELECT count(DISTINCT file) FROM both_ways) AS files""")
 def duplicate_totals(spark, sf_dir):
     return dup.Groups(document_files(spark, sf_dir)).totals()
+
+
+SQL_SENTENCES = "docs AS (SELECT doc_id, replace(text, '. ', '.' || chr(10)) AS text FROM documents)," + SQL_PAIRS.replace("FROM documents", "FROM docs")
+
+
+def sentence_files(spark, sf_dir) -> DataFrame:
+    """Documents with a line for each sentence; most have few lines of their own."""
+    return document_files(spark, sf_dir).withColumn("content", F.replace("content", F.lit(". "), F.lit(".\n")))
+
+
+@R.query("sentence_duplicates", f"""WITH {SQL_SENTENCES} SELECT file1, file2, similarity, 'block' AS type FROM block_rows
+UNION ALL SELECT content_leader, file, 100, 'exact' FROM mem WHERE file <> content_leader""")
+def sentence_duplicates(spark, sf_dir):
+    """As duplicate_report, blocks being six sentences."""
+    return dup.Groups(sentence_files(spark, sf_dir)).report()
+
+
+@R.query("sentence_duplicates_by_file", f"""WITH {SQL_SENTENCES}
+SELECT b.file, CASE type WHEN 'exact' THEN m.content_leader ELSE m.block_leader END AS other, similarity, type, count(*) AS n_files
+FROM both_ways b JOIN mem m ON m.file = mate GROUP BY ALL""")
+def sentence_duplicates_by_file(spark, sf_dir):
+    """As duplicates_by_file, blocks being six sentences."""
+    return dup.Groups(sentence_files(spark, sf_dir)).by_file()

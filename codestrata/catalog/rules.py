@@ -80,12 +80,12 @@ def sql_shapes(spark, sf_dir):
 @R.query("context_lines", r"""
 WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
 h AS (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS line FROM l)
-SELECT doc_id, CAST(line AS INTEGER) AS line, array_to_string(lines[line:line + 5], chr(10)) AS context FROM h WHERE contains(lower(lines[line]), 'copyright')""")
+SELECT doc_id, CAST(line AS INTEGER) AS line, array_to_string(lines[line:line + 5], chr(10)) AS context FROM h WHERE contains(lower(lines[line]), 'license')""")
 def context_lines(spark, sf_dir):
-    """Six lines from each one that speaks of a copyright."""
+    """Six lines from each one that speaks of a license."""
     lines = F.split("text", "\n")
-    at = F.filter(F.transform(lines, lambda x, i: F.when(F.contains(F.lower(x), F.lit("copyright")), i + 1)), lambda i: i.isNotNull())
-    found = read_table(spark, sf_dir, "documents").filter(F.contains(F.lower("text"), F.lit("copyright"))).select("doc_id", lines.alias("lines"), F.explode(at).alias("line"))
+    at = F.filter(F.transform(lines, lambda x, i: F.when(F.contains(F.lower(x), F.lit("license")), i + 1)), lambda i: i.isNotNull())
+    found = read_table(spark, sf_dir, "documents").filter(F.contains(F.lower("text"), F.lit("license"))).select("doc_id", lines.alias("lines"), F.explode(at).alias("line"))
     return found.select("doc_id", "line", F.array_join(F.slice("lines", F.col("line"), F.lit(6)), "\n").alias("context"))
 
 
