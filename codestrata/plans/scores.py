@@ -75,12 +75,12 @@ def file_facts(spark: SparkSession, sf_dir: str, only: DataFrame | None = None)
 
 
 def functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(module, function, identifier): what the functions of a file touch: a supplier, a flag pair and a size."""
+    """(module, function, identifiers): what the functions of a file touch: a supplier, a flag pair and a size."""
     lines = read_table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("module"), F.concat_ws(".", F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")).alias("function"),
-        F.explode(F.array(
+        F.array(
             F.concat(F.lit("s"), F.col("l_suppkey").cast("string")), F.concat(F.lit("f"), "l_returnflag", "l_linestatus"),
-            F.concat(F.lit("q"), F.col("l_quantity").cast("long").cast("string")))).alias("identifier"))
+            F.concat(F.lit("q"), F.col("l_quantity").cast("long").cast("string"))).alias("identifiers"))
     return lines
 
 

@@ -4,10 +4,11 @@ import datetime as dt
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from codestrata.catalog import activity
-from codestrata.plans import cohesion, scores
+from codestrata.plans import batches, cohesion, scores
 
 FACTS = """file long, role string, file_type string, max_cc long, max_depth long, recursive boolean, n_lines long,
 critical long, high long, medium long, low long, info long, unknown long, n_structural long, doc_tenths long, cc_tenths long"""
@@ -61,6 +62,37 @@ def test_cohesion(spark):
     assert {r.module: tuple(r)[1:] for r in got} == functions_brute(rows)
 
 
+def test_cohesion_of_many_modules(spark):
+    """Small modules are counted together, in tables that never part one; arrays count as their items."""
+    rng = random.Random(3)
+    rows = [(m, f"f{rng.randrange(6)}", [rng.choice([None, *"abcdefgh"]) for _ in range(rng.randrange(4))]) for m in range(400) for _ in range(rng.randrange(1, 12))]
+    rows += [(1, "big", [f"i{k}" for k in range(cohesion.SMALL)]), (1, "near", ["i7"]), (2, "f0", None)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    try:
+        got = cohesion.modules(spark.createDataFrame(rows, "module long, function string, identifiers array<string>")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r.module: tuple(r)[1:] for r in got} == functions_brute([(m, f, i) for m, f, ids in rows for i in ids or [None]]
+                                                                    + [(m, f, None) for m, f, _ in rows])
+
+
+@pytest.mark.parametrize("sizes", [[], [1], [3, 1, 50, 2, 20, 1, 1]])
+def test_whole_keys(spark, sizes):
+    """Every table holds whole keys, also of keys that are longer than a batch."""
+    rows = spark.createDataFrame([(k, i) for k, n in enumerate(sizes) for i in range(n)], "k long, i long")
+
+    def count(table):
+        of = table.group_by("k").aggregate([("i", "count")])
+        return pa.table({"k": of["k"], "n": of["i_count"]})
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = batches.by_key(rows, "k", count, "k long, n long").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, got)) == list(enumerate(sizes))
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, 60])
 def test_disjoint_pairs(n):
     rng = np.random.default_rng(n)
