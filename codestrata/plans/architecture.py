@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .batches import by_key, codes, parted
 from .graphs import connected
 from .paths import prefixes
 
 # Methods of a large class and its unrelated groups, and methods of one too large in any case.
 METHODS, GROUPS, METHODS_HARD = 12, 3, 25
 LEAST_METHODS = 3
+SMALL = 4096        # rows of a class up to which it is grouped together with others
 # What a path segment of each layer is called, from the lowest layer up.
 LAYERS = {
     "model": ("model", "models", "entity", "entities", "schema", "schemas", "domain", "dto"),
@@ -19,13 +23,46 @@ LAYERS = {
 }
 
 
+def grouped(table: pa.Table) -> pa.Table:
+    """(class, n_methods, groups) of small classes; ``table``: class, method, attribute."""
+    class_, names = codes(table["class"])
+    method, _ = codes(table["method"])
+    attribute, _ = codes(table["attribute"])
+    methods, of_row = np.unique(class_ * (method.max() + 1) + method, return_inverse=True)
+    class_of = methods // (method.max() + 1)
+    some = attribute >= 0
+    u = of_row[some]
+    _, v = np.unique(class_[some] * (attribute.max() + 1) + attribute[some], return_inverse=True)
+    label = np.arange(len(methods))
+    while True:
+        # the least method of each attribute, of each method's attributes, and that method's own label
+        least = np.full(len(u), len(methods))
+        np.minimum.at(least, v, label[u])
+        new = label.copy()
+        np.minimum.at(new, u, least[v])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    groups = np.bincount(class_of[label == np.arange(len(methods))], minlength=len(names))
+    return pa.table({"class": names, "n_methods": np.bincount(class_of, minlength=len(names)), "groups": groups})
+
+
 def method_groups(touched: DataFrame) -> DataFrame:
     """(class, n_methods, groups) of ``touched`` (class, method, attribute): groups of methods that share attributes.
 
     Methods that touch the same attribute of their class are in one group, directly or by way of others; one that touches
     none (a null attribute) is a group of its own. Rows with a null class or method are left out.
     """
-    rows = touched.select("class", "method", "attribute").filter("class is not null and method is not null").distinct()
+    rows = touched.select("class", "method", "attribute").filter("class is not null and method is not null")
+    small, large = parted(rows, "class", F.lit(1), SMALL)
+    out = by_key(small, "class", grouped, f"class {rows.schema['class'].dataType.simpleString()}, n_methods bigint, groups bigint")
+    return out if large is None else out.unionByName(_connected_groups(large))
+
+
+def _connected_groups(touched: DataFrame) -> DataFrame:
+    """method_groups for classes of any size, as parts of one graph."""
+    rows = touched.distinct()
     mark = lambda kind, c: F.struct(F.col("class").alias("c"), F.lit(kind).alias("k"), F.col(c).cast("string").alias("n"))
     edges = rows.filter("attribute is not null").select(mark("method", "method").alias("u"), mark("attribute", "attribute").alias("v"))
     parts = connected(edges).filter("node.k = 'method'").select(F.col("node.c").alias("class"), F.col("node.n").alias("name"), "component")

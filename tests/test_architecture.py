@@ -28,6 +28,16 @@ def test_method_groups(spark):
     assert {r["class"]: (r.n_methods, r.groups) for r in got.collect()} == groups_brute(rows)
 
 
+def test_small_and_large_classes(spark, monkeypatch):
+    """Classes that are grouped together and one that is not, chains of shared attributes among them."""
+    monkeypatch.setattr(arch, "SMALL", 60)
+    rng = random.Random(4)
+    rows = [(c, rng.randrange(9), rng.choice([None, *range(12)])) for c in range(300) for _ in range(rng.randrange(1, 9))]
+    rows += [(c, order[k], order[k + j]) for c, n in ((500, 25), (501, 90)) for order in [rng.sample(range(n + 1), n + 1)] for k in range(n) for j in (0, 1)]
+    got = arch.method_groups(spark.createDataFrame(rows, "class long, method long, attribute long")).collect()
+    assert {r["class"]: (r.n_methods, r.groups) for r in got} == groups_brute(rows) and len(got) == len({r[0] for r in rows})
+
+
 def test_god_objects(spark):
     rows = [(1, 25, 1), (2, 24, 2), (3, 12, 3), (4, 11, 11), (5, 2, 2)]
     got = arch.god_objects(spark.createDataFrame(rows, "class long, n_methods long, groups long")).collect()
