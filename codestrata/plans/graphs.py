@@ -93,19 +93,19 @@ def connected(edges: DataFrame) -> DataFrame:
     Each round a node takes the least label among itself and its neighbours, and labels are followed
     to their own labels, which halves long paths.
     """
-    both = _clean(edges)
-    both = materialize(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "both-ways")
+    every = materialize(_clean(edges), "graph")
+    both = materialize(every.unionByName(every.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "both-ways")
     label = materialize(both.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct(), "labels")
     while True:
-        near = both.join(label.select(F.col("node").alias("v"), "component"), "v").select(F.col("u").alias("node"), "component")
-        least = near.unionByName(label).groupBy("node").agg(F.min("component").alias("component"))
+        # merge joins: labels are small as files, and sent to the driver once in each round they'd be much in the end
+        near = both.join(label.select(F.col("node").alias("v"), "component").hint("merge"), "v").select(F.col("u").alias("node"), "component", F.lit(None).alias("old"))
+        least = near.unionByName(label.withColumn("old", F.col("component"))).groupBy("node").agg(F.min("component").alias("component"), F.max("old").alias("old"))
         of = label.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        new = least.join(of, "component").select("node", F.col("further").alias("component"))
+        new = least.join(of.hint("merge"), "component").select("node", F.col("further").alias("component"), (F.col("further") != F.col("old")).alias("_new"))
         new = materialize(new, "labels")
-        changed = new.join(label.withColumnRenamed("component", "old"), "node").filter("component <> old")
-        if changed.isEmpty():
-            return new
-        label = new
+        label = new.select("node", "component")
+        if new.filter("_new").isEmpty():
+            return label
 
 
 def reached(seeds: DataFrame, edges: DataFrame) -> DataFrame:
@@ -114,7 +114,8 @@ def reached(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     ``seeds``: node, tier, the greater the worse. Semi-naive: a round only follows nodes that got nearer
     or worse in the one before.
     """
-    return spread(seeds.select("node", F.lit(0).alias("hops"), "tier"), _clean(edges), {"hops": "min", "tier": "max"}, {"hops": "hops + 1"})
+    # a table, as every round reads it
+    return spread(seeds.select("node", F.lit(0).alias("hops"), "tier"), materialize(_clean(edges), "graph"), {"hops": "min", "tier": "max"}, {"hops": "hops + 1"})
 
 
 def unused(nodes: DataFrame, edges: DataFrame, entry: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 from collections import deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from codestrata.plans import graphs
 
@@ -73,3 +74,29 @@ def test_unused(spark):
     nodes = spark.createDataFrame([(i, "x") for i in range(5)], "node long, name string")
     got = graphs.unused(nodes, table(spark, [(0, 1), (2, 2)]), nodes.filter("node = 3"))
     assert sorted(r.node for r in got.collect()) == [0, 4]
+
+
+def test_reached_reads_its_edges_once(spark):
+    """The rounds work on a table and don't make the edges again."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def seen(u):
+        made.add(1)
+        return True
+
+    edges = [(i, i + 1) for i in range(8)]
+    got = graphs.reached(spark.createDataFrame([(0, 1)], "node long, tier int"), table(spark, edges).filter(seen("u"))).collect()
+    assert len(got) == 9 and made.value == len(edges)
+
+
+def test_connected_sends_no_labels_to_the_driver(spark, monkeypatch):
+    plans, write = [], graphs.materialize
+
+    def note(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(graphs, "materialize", note)
+    assert len(graphs.connected(table(spark, GRAPHS["chain"](None))).collect()) == 10
+    assert "SortMergeJoin" in "".join(plans) and "Broadcast" not in "".join(plans)
