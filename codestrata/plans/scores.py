@@ -21,6 +21,7 @@ SEVERITIES = {10: "critical", 9: "high", 8: "medium", 7: "low", 6: "info", 5: "u
 OTHER = 8
 # Lines from which a file is long, and the share of connected functions under which it is split up.
 LONG, SPLIT = 500, 0.40
+TASK_ROWS = 500_000     # functions in a task where files are chosen, about
 # Which role and type an order's priority stands for.
 ROLES = {"1": "orchestrator", "2": "cli_parser", "3": "utility", "4": "data_model", "5": "test"}
 TYPES = {"1": "production", "2": "production", "3": "example", "4": "docs", "5": "test"}
@@ -54,7 +55,9 @@ def file_facts(spark: SparkSession, sf_dir: str, only: DataFrame | None = None)
         (F.col("l_returnflag") == "R").alias("recursive"), (F.col("l_returnflag") != "N").cast("long").alias("documented"),
         (F.floor("l_extendedprice") % 4).alias("depth"), cents("l_discount").alias("severity"), cents("l_tax").alias("other"))
     if only is not None:
-        items = items.join(only.select("file"), "file", "left_semi")
+        # tasks of so many rows at every size, as a join sorts what a task gets
+        parts = items.count() // TASK_ROWS + 1
+        items = items.repartition(parts, "file").join(only.select("file").hint("merge"), "file", "left_semi")
     cc = F.col("quantity") % 25 + 1
     per_file = items.groupBy("file").agg(
         F.count(F.lit(1)).alias("n_functions"), F.sum(cc).alias("cc_sum"), F.max(cc).alias("max_cc"),

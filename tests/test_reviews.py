@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from codestrata.catalog import activity
 from codestrata.plans import batches, cohesion, scores
@@ -114,6 +115,18 @@ def test_files_without_functions(spark, tmp_path):
     assert (got.n_files, got.n_production, got.avg_cc, got.avg_doc) == (2, 2, 13.0, 50.0)
 
 
+def test_tasks_of_chosen_files_have_few_rows(spark, monkeypatch):
+    """The number of tasks follows the number of rows, and the facts are those of the chosen files."""
+    monkeypatch.setattr(scores, "TASK_ROWS", 500)
+    sf = "/root/testdata/sf0.001"
+    some = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("file")).filter("file % 3 = 0")
+    n = spark.read.parquet(f"{sf}/lineitem.parquet").count() // 500 + 1
+    got = scores.file_facts(spark, sf, some)
+    assert f", {n}), REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+    want = scores.file_facts(spark, sf).filter("file % 3 = 0")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_summary_without_files(spark):
     got = scores.summary(scores.scored(facts(spark))).first()
     assert (got["n_files"], got["avg_score"], got["security_score"], got["simplicity_score"]) == (0, 0.0, 100, 100)
