@@ -2,15 +2,21 @@
 
 Every loop is a sequence of joins with a frontier, the rows that changed in the round
 before; what a round makes is a table in the shared folder, and a loop ends when a round
-changes nothing. No node's edges and no component is ever one row or one task's group.
+changes nothing. No node's edges are ever one row, and a component is only within one task where it
+has at most WITHIN edges.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
 
+WITHIN = 200_000        # edges of a connected part, up to which one task finds its cycles
+PACK = 50_000           # edges that a task gets of such parts, about
+
 
 def _clean(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").filter("u is not null and v is not null").distinct()
@@ -55,18 +61,90 @@ def _trimmed(edges: DataFrame) -> DataFrame:
     return edges
 
 
+def strong(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, components) of the strongly connected components of more than one node, by Tarjan's search."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    n, a, b = len(nodes), ends[:len(u)], ends[len(u):]
+    to = b[np.argsort(a, kind="stable")].tolist()
+    at = np.concatenate([[0], np.cumsum(np.bincount(a, minlength=n))]).tolist()
+    ends, seen, low, open_, of = at[1:], [0] * n, [0] * n, [], [-1] * n
+    count = 0
+    for start in range(n):
+        if seen[start]:
+            continue
+        count += 1
+        seen[start] = low[start] = count
+        path = [start]
+        open_.append(start)
+        while path:
+            x = path[-1]
+            if at[x] < ends[x]:
+                y = to[at[x]]
+                at[x] += 1
+                if not seen[y]:
+                    count += 1
+                    seen[y] = low[y] = count
+                    path.append(y)
+                    open_.append(y)
+                elif of[y] < 0:
+                    low[x] = min(low[x], seen[y])
+                continue
+            path.pop()
+            if path:
+                low[path[-1]] = min(low[path[-1]], low[x])
+            if low[x] == seen[x]:
+                k = len(open_) - 1
+                while open_[k] != x:
+                    k -= 1
+                most = max(open_[k:])
+                for y in open_[k:]:
+                    of[y] = most
+                del open_[k:]
+    of = np.array(of, np.int64)
+    many = np.bincount(of, minlength=n)[of] > 1 if n else np.zeros(0, bool)
+    return nodes[many], nodes[of[many]]
+
+
+def _cycles_within(edges: DataFrame, packs: int) -> DataFrame:
+    """(node, component) of ``edges`` (u, v, part) whose parts are small, many of them in a task."""
+    def run(table: pa.Table) -> pa.Table:
+        nodes, component = strong(table["u"].to_numpy(), table["v"].to_numpy())
+        return pa.table({"node": pa.array(nodes, pa.int64()), "component": pa.array(component, pa.int64())})
+
+    packed = edges.select("u", "v", F.pmod(F.xxhash64("part"), F.lit(packs)).alias("pack"))
+    return packed.groupBy("pack").applyInArrow(run, "node long, component long")
+
+
 def cycles(edges: DataFrame) -> DataFrame:
     """(node, component): nodes on a cycle, named by the greatest node that is mutually reachable.
 
-    Strongly connected components of more than one node, and nodes with an edge to themselves. Per round the
-    edges are trimmed, the greatest node that reaches each node becomes its colour, and what
+    Strongly connected components of more than one node, and nodes with an edge to themselves. No cycle
+    leaves a connected part: parts of at most WITHIN edges are searched within a task, the others by rounds.
+    Null ends are no edges.
+    """
+    every = materialize(_clean(edges.select(F.col("u").cast("long"), F.col("v").cast("long"))), "graph")
+    loops = every.filter("u = v").select(F.col("u").alias("node"), F.col("u").alias("component"))
+    parts = connected(every.filter("u <> v"))
+    owned = every.filter("u <> v").join(parts.select(F.col("node").alias("u"), F.col("component").alias("part")).hint("merge"), "u")
+    sizes = owned.groupBy("part").agg((F.count(F.lit(1)) <= WITHIN).alias("small"))
+    owned = materialize(owned.join(sizes.hint("merge"), "part"), "part-edges")
+    small, large = owned.filter("small"), _cycles_by_rounds(owned.filter("not small").select("u", "v"))
+    found = _cycles_within(small, small.count() // PACK + 1)
+    if large is not None:
+        found = found.unionByName(large)
+    found = materialize(found, "cycles")
+    return found.unionByName(loops.join(found.select("node"), "node", "left_anti"))
+
+
+def _cycles_by_rounds(edges: DataFrame) -> DataFrame | None:
+    """(node, component) of strongly connected components of more than one node; None if there are none.
+
+    Per round the edges are trimmed, the greatest node that reaches each node becomes its colour, and what
     reaches the node of its own colour inside the colour is that node's component. Edges
     between colours can be on no cycle and go, as do finished components; each round finishes at least
-    one component of every colour. Null ends are no edges.
+    one component of every colour.
     """
-    every = materialize(_clean(edges), "graph")
-    loops = every.filter("u = v").select(F.col("u").alias("node"), F.col("u").alias("component"))
-    left = _trimmed(every.filter("u <> v"))
+    left = _trimmed(edges)
     found = None
     while not left.isEmpty():
         nodes = left.select(F.explode(F.array("u", "v")).alias("node")).distinct()
@@ -81,10 +159,9 @@ def cycles(edges: DataFrame) -> DataFrame:
         rest = inside.join(done, inside["u"] == done["node"], "left_anti").join(done, inside["v"] == done["node"], "left_anti")
         left = _trimmed(materialize(rest.select("u", "v"), "uncoloured"))
     if found is None:
-        return loops
+        return None
     sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    found = materialize(found.join(sizes.select("component"), "component", "left_semi").select("node", "component"), "cycles")
-    return found.unionByName(loops.join(found.select("node"), "node", "left_anti"))
+    return found.join(sizes.select("component"), "component", "left_semi").select("node", "component")
 
 
 def connected(edges: DataFrame) -> DataFrame:

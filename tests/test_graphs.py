@@ -100,3 +100,25 @@ def test_connected_sends_no_labels_to_the_driver(spark, monkeypatch):
     monkeypatch.setattr(graphs, "materialize", note)
     assert len(graphs.connected(table(spark, GRAPHS["chain"](None))).collect()) == 10
     assert "SortMergeJoin" in "".join(plans) and "Broadcast" not in "".join(plans)
+
+
+@pytest.mark.parametrize("name", GRAPHS)
+def test_cycles_by_rounds(spark, monkeypatch, name):
+    """Parts too large for a task give the same."""
+    monkeypatch.setattr(graphs, "WITHIN", 3)
+    test_cycles_and_parts(spark, name)
+
+
+@pytest.mark.parametrize("name", ["random", "rings", "self"])
+def test_small_parts_need_no_rounds(spark, monkeypatch, name):
+    """Rounds depend on the longest path; parts that fit a task are searched without any, some to each task."""
+    made, write = [], graphs.materialize
+
+    def note(df, label):
+        made.append(label)
+        return write(df, label)
+
+    monkeypatch.setattr(graphs, "materialize", note)
+    monkeypatch.setattr(graphs, "PACK", 4, raising=False)
+    test_cycles_and_parts(spark, name)
+    assert not {"trimmed", "spread", "coloured"} & set(made)
