@@ -16,6 +16,7 @@ DAY = 86_400_000_000
 BEAT, CAP = 2 * DAY, 5 * DAY        # the table's events are days apart, so are heartbeats and time limits
 FINAL = ("error",)
 TTL = DAY
+TOGETHER = 2000                     # events of the keys that share a state, about
 
 
 def _events(spark, sf_dir):
@@ -24,6 +25,10 @@ def _events(spark, sf_dir):
         F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
+def _packs(events) -> int:
+    return events.count() // TOGETHER + 1
+
+
 @R.query("stream_latest_states", BATCH.sql["latest_states"])
 def stream_latest_states(spark, sf_dir):
     """As latest_states, kept up to date by a stream; repeated and late updates change nothing."""
@@ -55,7 +60,7 @@ def stream_progress_frames(spark, sf_dir):
     events = _events(spark, sf_dir).select(
         "event_id", "user_id", "us", F.col("event_type").alias("status"), F.floor(F.col("k") / 50).alias("stage"))
     stream = feeds.feed(events, SLICES, close_after=30 * DAY)
-    return feeds.drained(folds.folded(stream, "user_id", "long", folds.Progress(BEAT, CAP, FINAL), "1 hour"), "progress-frames")
+    return feeds.drained(folds.folded(stream, "user_id", "long", folds.Progress(BEAT, CAP, FINAL), "1 hour", _packs(events)), "progress-frames")
 
 
 @R.query("stream_cached_lookups", f"""
@@ -69,4 +74,4 @@ def stream_cached_lookups(spark, sf_dir):
     """Which lookups find a cached answer young enough; the state of a name lives as long as its answer."""
     events = _events(spark, sf_dir).select("event_id", F.col("k").alias("name"), "us")
     stream = feeds.feed(events, SLICES, close_after=30 * DAY)
-    return feeds.drained(folds.folded(stream, "name", "long", folds.Cache(TTL), "1 hour"), "cached-lookups")
+    return feeds.drained(folds.folded(stream, "name", "long", folds.Cache(TTL), "1 hour", _packs(events)), "cached-lookups")

@@ -3,7 +3,7 @@
 Events wait in their key's state until the watermark has passed them, so that the fold sees them in
 order of time and id however they arrive; those that come later than the watermark allows are left out, as
 are repeats. Between events, and when the watermark moves on without any, the fold's own timers run.
-The state of a key is what waits and what the fold remembers, and is dropped when both are empty.
+The state of a key is what waits and what the fold remembers, and is dropped when both are empty. Some keys share a state of Spark's.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -35,41 +35,53 @@ class Fold:
         return None
 
 
-def folded(stream: DataFrame, key: str, key_type: str, fold: Fold, delay: str) -> DataFrame:
+def folded(stream: DataFrame, key: str, key_type: str, fold: Fold, delay: str, packs: int = 1) -> DataFrame:
     """The rows that ``fold`` makes of ``stream`` (``key``, event_id, us, ts and more), with the key.
 
-    ``delay``: how late an event may come. Events with a null key are used for their time only.
+    ``delay``: how late an event may come. Events with a null key are used for their time only. ``packs``: Spark
+    calls Python once for each state in each batch, which takes longer than some dozens of events do, so keys are dealt
+    to so many states; each key is still folded by itself.
     """
     names = [key, *[f.split()[0] for f in fold.schema.split(", ")]]
 
     def run(of: tuple[Any], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting, memory = json.loads(state.get[0]) if state.exists else ({}, {})
+        held = {k: (waiting, memory) for k, waiting, memory in json.loads(state.get[0])} if state.exists else {}
         if not state.hasTimedOut:
             for batch in batches:
-                for row in batch.drop(columns=["ts", key]).to_dict("records"):
-                    waiting[str(row["event_id"])] = {k: None if pd.isna(v) else v for k, v in row.items()}
+                for row in map(json.loads, batch["_row"]):
+                    k = row.pop(key)
+                    if k is not None:
+                        held.setdefault(k, ({}, {}))[0][str(row["event_id"])] = row
         passed = state.getCurrentWatermarkMs() * 1000
-        out = []
-        for row in sorted(waiting.values(), key=lambda r: (r["us"], r["event_id"])):
-            if row["us"] > passed:
-                break
-            out += fold.timers(memory, row["us"])
-            out += fold.event(memory, row)
-            del waiting[str(row["event_id"])]
-        out += fold.timers(memory, passed + 1)
-        if waiting or memory:
-            state.update((json.dumps((waiting, memory), default=int),))
-            due = [r["us"] for r in waiting.values()] + [t for t in [fold.next_timer(memory)] if t is not None]
+        out, left, due = [], [], []
+        for k, (waiting, memory) in held.items():
+            made = []
+            for row in sorted(waiting.values(), key=lambda r: (r["us"], r["event_id"])):
+                if row["us"] > passed:
+                    break
+                made += fold.timers(memory, row["us"])
+                made += fold.event(memory, row)
+                del waiting[str(row["event_id"])]
+            made += fold.timers(memory, passed + 1)
+            out += [(k, *r) for r in made]
+            if waiting or memory:
+                left.append((k, waiting, memory))
+                due += [r["us"] for r in waiting.values()] + [t for t in [fold.next_timer(memory)] if t is not None]
+        if left:
+            state.update((json.dumps(left),))
             if due:
                 state.setTimeoutTimestamp(max(min(due), passed) // 1000 + 1)
         elif state.exists:
             state.remove()
         if out:
-            yield pd.DataFrame([(of[0], *r) for r in out], columns=names)
-
-    kept = stream.withWatermark("ts", delay)
-    return kept.groupBy(key).applyInPandasWithState(
-        run, f"{key} {key_type}, {fold.schema}", "held string", "append", GroupStateTimeout.EventTimeTimeout).filter(f"{key} is not null")
+            yield pd.DataFrame(out, columns=names, dtype=object)     # as objects, numbers beside nulls stay whole
+
+    # an event goes as JSON, in which numbers beside nulls stay whole; null keys have a state of their own, which stays empty
+    row = F.to_json(F.struct(*[c for c in stream.columns if c != "ts"]), {"ignoreNullFields": "false"})
+    pack = F.when(F.col(key).isNotNull(), F.pmod(F.xxhash64(key), F.lit(packs)))
+    kept = stream.withWatermark("ts", delay).select(pack.alias("_pack"), "ts", row.alias("_row"))
+    return kept.groupBy("_pack").applyInPandasWithState(
+        run, f"{key} {key_type}, {fold.schema}", "held string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 class Progress(Fold):

@@ -99,3 +99,21 @@ def test_small_feeds(spark, n):
     source = feeds.feed(events, 3, close_after=10 * S)
     got = feeds.drained(folds.folded(source, "user_id", "long", folds.Cache(limits.SECOND), "1 second"), "t")
     assert got.count() == n
+
+
+@pytest.mark.parametrize("packs", [1, 5])
+def test_keys_share_states(spark, tmp_path, packs):
+    """Few states for many keys, each key folded by itself; ids beyond 2^53 stay whole beside nulls."""
+    rng, big = random.Random(4), 2 ** 60
+    events, us = [], 10 ** 15
+    for i in range(400):
+        us += rng.choice([0, S, 40 * S])
+        events.append((big + i, big + rng.randrange(30), us, rng.choice(["run", "wait", "error"]), rng.choice([big + 1, big + 2, None])))
+    close = [(None, None, us + 10 ** 5 * S, None, None)]
+    source = stream(spark, str(tmp_path), [events[:150], events[150:], close])
+    made = folds.folded(source, "user_id", "long", folds.Progress(15 * S, 360 * S, ("error",)), "100 seconds", packs)
+    query = made.writeStream.format("memory").queryName(f"shared{packs}").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = sorted(((r.user_id, r.at, r.kind, r.status, r.event_id) for r in spark.table(f"shared{packs}").collect()), key=repr)
+    assert got == frames_brute(events, 15 * S, 360 * S, ("error",))
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= packs
