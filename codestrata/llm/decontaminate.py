@@ -3,14 +3,14 @@
 A document holds an item if one of its substrings is within MAX_EDITS percent of the
 item's length in edit distance, both in lower case with single blanks.
 
-Windows as large as the item are laid over the document wherever a run of three words,
-two long ones side by side, or two long ones with a third between them agree with the item's, aligned by them. The CGK walk maps each window and each item
-to strings of three times their length, on which a small edit distance has become a
-small Hamming distance: it reads the text letter by letter, and whether it moves on
-after a letter is settled by a random bit for that letter and step. Sampled places of
-several walks are compared as hash keys; windows that share a key with their item are
-verified by an exact search. Settings are such that an item with 15 percent of its letters
-changed is still found with the recall stated in the README.
+An item is cut into more pieces of a few letters than it may have edits. An edit harms one piece
+at most, so a substring within the limit has a known number of them unharmed, each shifted
+by no more than the edits; only where so many meet is a window laid over the document, which loses
+none. The CGK walk maps each window and each item to strings of three times their length, on which a small
+edit distance has become a small Hamming distance: it reads the text letter by letter, and
+whether it moves on after a letter is settled by a random bit for that letter and step. Sampled
+places of several walks are compared as hash keys; windows that share a key with their item
+are verified by an exact search, and after them the rest, as keys may miss a window.
 """
 
 from __future__ import annotations
@@ -23,17 +23,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import STEP, arrow_map, hash_texts, raw, shingle_hashes
+from .common import STEP, arrow_map, raw
 
 MAX_EDITS = 15          # percent of the item's length
-# Words that have to agree somewhere: (places of the words, bytes they have at least).
-# Short words are everywhere; two words count as a seed only if they are long. The gap is for edits in every other word.
-SEEDS = (((0, 1, 2), 0), ((0, 1), 9), ((0, 2), 9))
+PIECES = (6, 5, 3, 1)   # letters of a piece; an item has the longest that leave one unharmed, and SURE of the longest ones
+SURE = 5                # longer pieces meet less often by chance, but fewer of them are left
 WALKS = 8               # independent embeddings
 TABLES = 12             # hash keys from each
 BITS = 2                # sampled places in a key
 SLICE = 8 << 20         # bytes of item text sent to the workers at a time
-FILTER = 1 << 20        # places of the seed filter
+FILTER = 20             # bits of the piece filter
+CHUNK = 1 << 20         # letters whose pieces are looked up at a time
+PAIRS = 1 << 36         # letters of texts by letters of items that are compared at a time, so that their hits fit in memory
 
 
 def walks(texts: list[bytes], seed: int, width: int) -> np.ndarray:
@@ -92,64 +93,101 @@ def search(item: bytes, text: bytes, most: int) -> int:
     return min(best, most + 1)
 
 
-def seed_hashes(h: np.ndarray, at: tuple[int, ...]) -> np.ndarray:
-    """Hash of the words at the places ``at`` from each word on."""
-    n = max(0, len(h) - at[-1])
-    picked = np.stack([h[k:k + n] for k in at], axis=1).reshape(-1)
-    # every len(at)-th run of the words laid side by side; the gap goes into the hash
-    return shingle_hashes(picked, len(at))[::len(at)] + at[-1] if n else np.zeros(0, np.int64)
+def letters(buf: bytes, start: int, end: int, q: int) -> np.ndarray:
+    """Each ``q`` letters from ``start`` to before ``end`` as one number; ``buf`` has eight bytes more."""
+    return np.ndarray((end - start,), "<u8", buf, start, (1,)) & np.uint64((1 << 8 * q) - 1)
+
+
+def filter_places(codes: np.ndarray) -> np.ndarray:
+    return (codes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - FILTER)).astype(np.int64)
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each of sorted ``values`` once, and how often it is there."""
+    first = np.flatnonzero(np.append(np.ones(min(1, len(values)), bool), values[1:] != values[:-1]))
+    return values[first], np.diff(np.append(first, len(values)))
 
 
 class Items:
-    """Seeds, sampled embeddings and texts of a bounded slice of items."""
+    """Pieces, sampled embeddings and texts of a bounded slice of items."""
 
     def __init__(self, rows: list[tuple[int, str]]) -> None:
-        words = [(k, raw(t).lower().split()) for k, t in rows]
-        words = [(k, w) for k, w in words if w]
-        self.keys = [k for k, _ in words]
-        self.size = np.array([len(w) for _, w in words], np.int64)
-        self.texts = [b" ".join(w) for _, w in words]
-        hashes = hash_texts(self.texts)
+        texts = [(k, b" ".join(raw(t).lower().split())) for k, t in rows]
+        texts = [(k, t) for k, t in texts if t]
+        self.keys = [k for k, _ in texts]
+        self.texts = [t for _, t in texts]
+        self.size = np.array([len(t) for t in self.texts], np.int64)
         self.most = [len(t) * MAX_EDITS // 100 for t in self.texts]
         self.width = max((2 * len(t) for t in self.texts), default=0) + 1
-        self.seeds = []                     # by places: sorted hashes, their items and offsets, filter
-        for places_of, least in (*SEEDS, ((0,), 0)):
-            h, of, off = [], [], []
-            for i, (_, w) in enumerate(words):
-                # an item too short for any seed is its own
-                whole = len(w) == len(places_of) and places_of[-1] == len(w) - 1
-                if len(w) <= places_of[-1] or (len(places_of) == 1 and not whole):
-                    continue
-                sizes = np.array([len(x) for x in w])
-                n = len(w) - places_of[-1]
-                long = sum(sizes[k:k + n] for k in places_of) >= (0 if whole else least)
-                h.append(seed_hashes(hashes[i], places_of)[long])
-                of.append(np.full(n, i)[long])
-                off.append(np.arange(n)[long])
-            if h:
-                h, of, off = np.concatenate(h), np.concatenate(of), np.concatenate(off)
-                order = np.argsort(h, kind="stable")
-                seen = np.zeros(FILTER, bool)
-                seen[h & (FILTER - 1)] = True
-                self.seeds.append((places_of, h[order], of[order], off[order], seen))
+        self.pieces = []                    # by letters: sorted codes, where their items and offsets are and how many, those, filter
+        q_of = [next(q for q in PIECES if len(t) // q - e >= (SURE if q == PIECES[0] else 1)) for t, e in zip(self.texts, self.most)]
+        self.least = np.array([len(t) // q - e for t, e, q in zip(self.texts, self.most, q_of)], np.int64)
+        for q in sorted(set(q_of)):
+            mine = [i for i, x in enumerate(q_of) if x == q]
+            code = np.concatenate([letters(self.texts[i] + bytes(8), 0, len(self.texts[i]), q)[:len(self.texts[i]) // q * q:q] for i in mine])
+            n = np.array([len(self.texts[i]) // q for i in mine])
+            of, off = np.repeat(mine, n), (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * q
+            order = np.argsort(code, kind="stable")
+            seen = np.zeros(1 << FILTER, bool)
+            seen[filter_places(code)] = True
+            codes, first, n = np.unique(code[order], return_index=True, return_counts=True)
+            self.pieces.append((q, codes, first, n, of[order], off[order], seen))
         self.sampled = []
         for seed in range(WALKS):
             at = places(self.texts, seed)
             own = walks(self.texts, seed, self.width)
             self.sampled.append((np.array(at).reshape(-1, TABLES, BITS), np.array([own[p, i] for i, p in enumerate(at)]).reshape(-1, TABLES, BITS)))
 
-    def windows(self, h: np.ndarray) -> list[tuple[int, int]]:
-        """(item, first word) of the windows to look at in a text with the word hashes ``h``."""
-        found = set()
-        for places_of, keys, of, off, seen in self.seeds:
-            got = seed_hashes(h, places_of)
-            at = np.flatnonzero(seen[got & (FILTER - 1)])
-            first = np.searchsorted(keys, got[at], "left")
-            last = np.searchsorted(keys, got[at], "right")
-            for p, a, b in zip(at.tolist(), first.tolist(), last.tolist()):
-                for k in range(a, b):
-                    found.add((int(of[k]), p - int(off[k])))
-        return sorted(found)
+    def hits(self, buf: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, item, offset) wherever a piece of an item lies in ``buf``, which ends in eight more bytes."""
+        found = [(np.zeros(0, np.int64),) * 3]
+        for q, codes, begin, many, of, off, seen in self.pieces:
+            for start in range(0, len(buf) - 8, CHUNK):
+                got = letters(buf, start, min(start + CHUNK, len(buf) - 8), q)
+                at = np.flatnonzero(seen[filter_places(got)])
+                got = got[at]
+                k = np.minimum(np.searchsorted(codes, got), len(codes) - 1)
+                held = codes[k] == got
+                at, k = at[held], k[held]
+                first, n = begin[k], many[k]
+                entry = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                found.append((np.repeat(start + at, n), of[entry], off[entry]))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def windows(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
+        """(text, item, start, from, to): where as many pieces as a match has unharmed lie in line.
+
+        start is where the pieces put the item's first letter; all substrings that the pieces may belong to lie from ``from`` to ``to``.
+        """
+        if not self.keys:
+            return []
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        begins = np.append(0, ends[:-1])
+        # no piece holds the line end between two texts
+        place, item, off = self.hits(b"\n".join(texts) + bytes(8))
+        text = np.searchsorted(ends, place, "right")
+        # shifts of a match differ by its edits at most, so they are in one bin or in two side by side
+        step = np.array(self.most, np.int64)[item] + 1
+        line = place - begins[text] - off
+        bins = int(max(map(len, texts), default=0) + self.size.max()) + 2
+        key = (text * len(self.keys) + item) * bins + (line + self.size[item]) // step
+        name, n = _runs(np.sort(key))
+        beside = np.append(np.where(name[1:] == name[:-1] + 1, n[1:], 0), np.zeros(min(1, len(name)), np.int64))
+        name = name[n + beside >= self.least[name // bins % len(self.keys)]]
+        # the hits of these, in order
+        wanted = np.append(np.union1d(name, name + 1), np.iinfo(np.int64).max)
+        mine = np.flatnonzero(wanted[np.searchsorted(wanted, key)] == key)
+        mine = mine[np.argsort(key[mine])]
+        first, last = np.searchsorted(key[mine], name, "left"), np.searchsorted(key[mine], name + 1, "right")
+        off, line = off[mine], line[mine]
+        out = []
+        for which, a, b in zip(name.tolist(), first.tolist(), last.tolist()):
+            d, i = divmod(which // bins, len(self.keys))
+            own = slice(a, b)
+            if len(set(off[own].tolist())) >= self.least[i]:
+                edits, low = self.most[i], which % bins * (self.most[i] + 1) - len(self.texts[i])
+                out.append((d, i, int(np.median(line[own])), max(0, low - edits), max(0, low + 2 * (edits + 1) + len(self.texts[i]) + 2 * edits)))
+        return out
 
     def near(self, asked: list[tuple[int, bytes]]) -> np.ndarray:
         """Whether each (item, window text) shares a key."""
@@ -165,25 +203,42 @@ class Items:
             hit[todo] = (got == own[of[todo]]).all(2).any(1)
         return hit
 
-    def matches(self, texts: list[str | None]) -> list[tuple[int, int, int]]:
-        """(position of the text, item key, distance) for all items that the texts hold."""
-        asked, place, words = [], [], {}
-        data = [raw(t).lower() for t in texts]
-        for d, h in enumerate(hash_texts(data)):
-            for i, first in self.windows(h):
-                n = int(self.size[i])
-                w = words[d] if d in words else words.setdefault(d, data[d].split())
-                asked.append((i, b" ".join(w[max(0, first):max(0, first + n)])))
-                place.append((d, first, n))
+    def groups(self, data: list[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
+        """(their texts, parts of texts) of bounded size; each substring that may match is whole in some part."""
+        longest = int(self.size.max(initial=1))
+        room = max(PAIRS // max(1, int(self.size.sum())), 4 * longest)
+        of, group, size = [], [], 0
+        for d, t in enumerate(data):
+            for at in range(0, len(t), room):
+                part = t[at:at + room + 2 * longest]
+                if group and size + len(part) > room:
+                    yield of, group
+                    of, group, size = [], [], 0
+                of.append(d)
+                group.append(part)
+                size += len(part)
+        if group:
+            yield of, group
+
+    def matches(self, texts: list[str | None], every: bool = True) -> list[tuple[int, int, int]]:
+        """(position of the text, item key, distance) for all items that the texts hold.
+
+        Unless ``every`` counts, a text is done with the first item found in it.
+        """
+        data = [b" ".join(raw(t).lower().split()) for t in texts]
         best: dict[tuple[int, int], int] = {}
-        if asked:
-            for k in np.flatnonzero(self.near(asked)).tolist():
-                (i, _), (d, first, n) = asked[k], place[k]
-                slack = n * MAX_EDITS // 100 + 2
-                far = best.get((d, i), self.most[i] + 1)
-                if far:
-                    text = b" ".join(words[d][max(0, first - slack):first + n + slack])
-                    best[d, i] = min(far, search(self.texts[i], text, self.most[i]))
+        done = set()
+        for of, group in self.groups(data):
+            asked = self.windows(group)
+            near = self.near([(i, group[g][max(0, at):max(0, at) + len(self.texts[i])]) for g, i, at, _, _ in asked])
+            # those that share a key first, then what the keys missed
+            for k in np.argsort(~near, kind="stable").tolist():
+                g, i, _, start, end = asked[k]
+                d, far = of[g], best.get((of[g], i), self.most[i] + 1)
+                if far and (every or d not in done):
+                    best[d, i] = min(far, search(self.texts[i], group[g][start:end], self.most[i]))
+                    if best[d, i] <= self.most[i]:
+                        done.add(d)
         return [(d, self.keys[i], e) for (d, i), e in sorted(best.items()) if e <= self.most[i]]
 
 
@@ -209,7 +264,7 @@ def _slices(docs: DataFrame, benchmark: DataFrame) -> Iterator:
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, distance): every item that a document holds, with its least distance found.
+    """(doc_id, item_id, distance): every item that a document holds, with its least distance.
 
     Row by row and without a shuffle. Items are sent to the workers in slices of at most
     SLICE bytes (a single longer item is a slice); more items mean more passes. Null or
@@ -234,7 +289,7 @@ def _clean(held):
     def clean(texts: pd.Series) -> pd.Series:
         out = np.ones(len(texts), bool)
         for at in range(0, len(texts), STEP):
-            out[[at + d for d, _, _ in _items(held).matches(texts.iloc[at:at + STEP].tolist())]] = False
+            out[[at + d for d, _, _ in _items(held).matches(texts.iloc[at:at + STEP].tolist(), every=False)]] = False
         return pd.Series(out)
 
     return clean

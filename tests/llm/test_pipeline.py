@@ -6,6 +6,7 @@ import hashlib
 import random
 import struct
 
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -160,3 +161,33 @@ def test_items_with_spread_and_clustered_edits():
         near = [(k, x) for k, x in texts if decontaminate.search(y := " ".join(dict(items)[k].split()).encode(), x.encode(), len(y) * 15 // 100) <= len(y) * 15 // 100]
         got = {(p, k) for p, k, _ in held.matches([x for _, x in near])}
         assert len(near) > 40 and sum((p, k) in got for p, (k, _) in enumerate(near)) >= 0.9 * len(near), name
+
+
+@pytest.mark.parametrize("pairs", [1, 1 << 36])
+def test_no_pair_within_the_limit_is_lost(monkeypatch, pairs):
+    """Every pair of a text and an item that the exact search finds, with its distance: a letter changed in every word, short items, items at the ends."""
+    rng = random.Random(8)
+    voc = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9))) for _ in range(400)]
+    say = lambda n: " ".join(rng.choice(voc) for _ in range(n))
+    items = [(k, say(rng.choice([1, 2, 3, 5, 8, 20, 40]))) for k in range(60)] + [(100, "q"), (101, "zq"), (102, "x z"), (103, "")]
+    texts = [None, "", "q", "a q b", say(300)]
+    for _, t in items[:60]:
+        s = [w[:k] + "z" + w[k + 1:] for w in t.split() for k in [rng.randrange(len(w))]]      # a letter of each word
+        most = len(t) * 15 // 100
+        cut = list(t)
+        for _ in range(most):               # as many edits as the limit allows, of all three kinds
+            at = rng.randrange(len(cut))
+            cut[at:at + 1] = rng.choice([[], ["z"], [cut[at], "z"]])
+        texts += [" ".join(s), say(5) + " " + " ".join(s) + " " + say(5), "".join(cut), say(3) + "  " + "".join(cut).upper() + "\n" + say(4), t[most:]]
+    monkeypatch.setattr(decontaminate, "PAIRS", pairs, raising=False)
+    held = decontaminate.Items(items)
+    norm = lambda t: " ".join((t or "").lower().split()).encode()
+    want = []
+    for p, t in enumerate(texts):
+        for k, x in items:
+            if x:
+                most = len(norm(x)) * 15 // 100
+                far = decontaminate.search(norm(x), norm(t), most)
+                want += [(p, k, far)] if far <= most else []
+    assert len(want) > 250 and sorted(held.matches(texts)) == want
+    assert {p for p, _, _ in held.matches(texts, every=False)} == {p for p, _, _ in want}
