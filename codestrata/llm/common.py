@@ -143,21 +143,27 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
 
 
 FILTER_BITS = 1 << 27   # 16 MB
+SPARSE = 64             # bits for each key that a filter needs at most
 
 
 def bit_filter(keys: DataFrame, column: str) -> np.ndarray:
-    """FILTER_BITS bits, one of which each key sets: of fixed size, however many keys there are.
+    """At most FILTER_BITS bits, one of which each key sets; few keys have a small filter.
 
     It only spares rows a shuffle that ends in an exact join; where it is full, it spares none.
+    Every executor writes what is sent to Python to its disk, so bits that few keys don't need are folded away.
     """
     bit = F.pmod(column, F.lit(FILTER_BITS))
     words = keys.groupBy(F.call_function("shiftright", bit, F.lit(5)).alias("word")).agg(
         F.bit_or(F.expr(f"shiftleft(1L, int(pmod({column}, 32)))")).alias("bits")).toArrow()
     out = np.zeros(FILTER_BITS // 32, np.uint32)
     out[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
+    used = int(np.bitwise_count(out).sum())
+    while len(out) > 32 and len(out) * 16 >= SPARSE * used:      # halves that are still sparse enough as one
+        half = len(out) // 2
+        out = out[:half] | out[half:]
     return out
 
 
 def holds(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys & (FILTER_BITS - 1)
+    at = keys & (32 * len(bits) - 1)
     return (bits[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1)).astype(bool)

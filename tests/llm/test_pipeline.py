@@ -191,3 +191,14 @@ def test_no_pair_within_the_limit_is_lost(monkeypatch, pairs):
                 want += [(p, k, far)] if far <= most else []
     assert len(want) > 250 and sorted(held.matches(texts)) == want
     assert {p for p, _, _ in held.matches(texts, every=False)} == {p for p, _, _ in want}
+
+
+def test_filters_are_as_large_as_their_keys_need(spark):
+    """A filter holds all its keys and few others, and few keys have a small one."""
+    for n, most in ((0, 1 << 10), (1000, 1 << 17), (300_000, 1 << 25)):
+        keys = spark.range(n).select(F.xxhash64("id").alias("h"))
+        own = keys.toPandas()["h"].to_numpy().astype("int64")
+        bits = common.bit_filter(keys, "h")
+        other = spark.range(n, n + 100_000).select(F.xxhash64("id").alias("h")).toPandas()["h"].to_numpy()
+        assert common.holds(bits, own).all() and common.holds(bits, other).mean() < 0.04
+        assert 32 * len(bits) <= most
