@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 from math import ceil
 
 import numpy as np
@@ -33,24 +34,35 @@ TABLES = 12             # hash keys from each
 BITS = 2                # sampled places in a key
 SLICE = 8 << 20         # bytes of item text sent to the workers at a time
 FILTER = 20             # bits of the piece filter
-CHUNK = 1 << 20         # letters whose pieces are looked up at a time
+CHUNK = 1 << 17         # letters whose pieces are looked up and counted at a time, so that the counts stay in the processor's cache
+ASKED = 4096            # windows that are walked at a time
+STEPS = 4096            # steps of a walk up to which its random bits are kept
 PAIRS = 1 << 36         # letters of texts by letters of items that are compared at a time, so that their hits fit in memory
 
 
+@lru_cache(maxsize=2 * WALKS)
+def moves_of(seed: int, width: int) -> np.ndarray:
+    """Whether the walk moves on after a letter at a step. More steps begin with the same ones."""
+    return np.random.default_rng(seed).integers(0, 2, (width, 256), np.uint8)
+
+
 def walks(texts: list[bytes], seed: int, width: int) -> np.ndarray:
     """CGK embedding of each text, padded to ``width`` columns with zeros."""
-    rng = np.random.default_rng(seed)
-    moves = rng.integers(0, 2, (width, 256), np.uint8).astype(bool)
+    # steps are made for a power of two, so that few tables of them are ever kept, and those are small
+    steps = 1 << max(width - 1, 1).bit_length()
+    moves = (moves_of if steps <= STEPS else moves_of.__wrapped__)(seed, steps if steps <= STEPS else width)
     longest = max(map(len, texts), default=0)
     s = np.zeros((len(texts), longest + 1), np.uint8)
     for i, t in enumerate(texts):
         s[i, :len(t)] = np.frombuffer(t, np.uint8)
-    at, rows = np.zeros(len(texts), np.int64), np.arange(len(texts))
+    at = np.arange(len(texts)) * (longest + 1)
+    last, flat = at + longest, s.ravel()
     out = np.zeros((width, len(texts)), np.uint8)
     for j in range(width):
-        c = s[rows, at]
+        c = flat[at]
         out[j] = c
-        at = np.minimum(at + moves[j, c], longest)
+        at += moves[j][c]
+        np.minimum(at, last, out=at)
     return out
 
 
@@ -98,14 +110,13 @@ def letters(buf: bytes, start: int, end: int, q: int) -> np.ndarray:
     return np.ndarray((end - start,), "<u8", buf, start, (1,)) & np.uint64((1 << 8 * q) - 1)
 
 
-def filter_places(codes: np.ndarray) -> np.ndarray:
-    return (codes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - FILTER)).astype(np.int64)
+def spread_codes(codes: np.ndarray) -> np.ndarray:
+    """Each code as another number, whose first FILTER bits are its place in the filter."""
+    return codes * np.uint64(0x9E3779B97F4A7C15)
 
 
-def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each of sorted ``values`` once, and how often it is there."""
-    first = np.flatnonzero(np.append(np.ones(min(1, len(values)), bool), values[1:] != values[:-1]))
-    return values[first], np.diff(np.append(first, len(values)))
+def filter_places(spread: np.ndarray) -> np.ndarray:
+    return (spread >> np.uint64(64 - FILTER)).astype(np.int64)
 
 
 class Items:
@@ -119,40 +130,64 @@ class Items:
         self.size = np.array([len(t) for t in self.texts], np.int64)
         self.most = [len(t) * MAX_EDITS // 100 for t in self.texts]
         self.width = max((2 * len(t) for t in self.texts), default=0) + 1
-        self.pieces = []                    # by letters: sorted codes, where their items and offsets are and how many, those, filter
+        self.pieces = []                    # by letters: filter, its first code, the most codes in a place of it, spread codes, where their entries are and how many
         q_of = [next(q for q in PIECES if len(t) // q - e >= (SURE if q == PIECES[0] else 1)) for t, e in zip(self.texts, self.most)]
         self.least = np.array([len(t) // q - e for t, e, q in zip(self.texts, self.most, q_of)], np.int64)
+        self.of = self.off = np.zeros(0, np.int64)      # items and offsets of the pieces, an entry for each
         for q in sorted(set(q_of)):
             mine = [i for i, x in enumerate(q_of) if x == q]
-            code = np.concatenate([letters(self.texts[i] + bytes(8), 0, len(self.texts[i]), q)[:len(self.texts[i]) // q * q:q] for i in mine])
+            code = spread_codes(np.concatenate([letters(self.texts[i] + bytes(8), 0, len(self.texts[i]), q)[:len(self.texts[i]) // q * q:q] for i in mine]))
             n = np.array([len(self.texts[i]) // q for i in mine])
             of, off = np.repeat(mine, n), (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * q
             order = np.argsort(code, kind="stable")
-            seen = np.zeros(1 << FILTER, bool)
-            seen[filter_places(code)] = True
             codes, first, n = np.unique(code[order], return_index=True, return_counts=True)
-            self.pieces.append((q, codes, first, n, of[order], off[order], seen))
+            held = np.bincount(filter_places(codes), minlength=1 << FILTER)
+            self.pieces.append((q, held > 0, np.cumsum(held) - held, int(held.max()), codes, first + len(self.of), n))
+            self.of, self.off = np.append(self.of, of[order]), np.append(self.off, off[order])
+        # of each entry: what makes a place that of its item's end, bins a letter, a number of the item, pieces asked for
+        self.after = (self.size[self.of] - self.off).astype(np.int32)
+        self.rate = 1 / (np.array(self.most, np.float64)[self.of] + 1)
+        self.salt = (self.of * 0x9E3779B1 & 0x7FFFFFFF).astype(np.int32)
+        self.asks = np.minimum(self.least, np.iinfo(np.int32).max)[self.of].astype(np.int32)
         self.sampled = []
         for seed in range(WALKS):
             at = places(self.texts, seed)
             own = walks(self.texts, seed, self.width)
             self.sampled.append((np.array(at).reshape(-1, TABLES, BITS), np.array([own[p, i] for i, p in enumerate(at)]).reshape(-1, TABLES, BITS)))
 
-    def hits(self, buf: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place, item, offset) wherever a piece of an item lies in ``buf``, which ends in eight more bytes."""
-        found = [(np.zeros(0, np.int64),) * 3]
-        for q, codes, begin, many, of, off, seen in self.pieces:
-            for start in range(0, len(buf) - 8, CHUNK):
-                got = letters(buf, start, min(start + CHUNK, len(buf) - 8), q)
-                at = np.flatnonzero(seen[filter_places(got)])
-                got = got[at]
-                k = np.minimum(np.searchsorted(codes, got), len(codes) - 1)
+    def hits(self, buf: bytes, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place from ``start`` on, entry) wherever a piece of an item begins before ``end`` in ``buf``, which has eight more bytes."""
+        places, entries = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for q, seen, begin, most, codes, first, many in self.pieces:
+            got = spread_codes(letters(buf, start, end, q))
+            of = filter_places(got)
+            at = np.flatnonzero(seen[of])
+            got, k = got[at], begin[of[at]]
+            for _ in range(most):
                 held = codes[k] == got
-                at, k = at[held], k[held]
-                first, n = begin[k], many[k]
-                entry = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                found.append((np.repeat(start + at, n), of[entry], off[entry]))
-        return tuple(np.concatenate(x) for x in zip(*found))
+                place, which = at[held], k[held]
+                n = many[which]
+                entries.append(np.repeat(first[which] - (np.cumsum(n) - n), n) + np.arange(n.sum()))
+                places.append(np.repeat(place.astype(np.int32), n))
+                if most > 1:
+                    at, got, k = at[~held], got[~held], np.minimum(k[~held] + 1, len(codes) - 1)
+        return np.concatenate(places), np.concatenate(entries)
+
+    def crowded(self, buf: bytes, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Those hits from ``start`` to ``end`` beside which as many of their item may lie in line as a match has unharmed.
+
+        Shifts of a match differ by its edits at most, so they are in one bin or in two side by side. Bins may
+        share a count, which keeps more hits and never fewer.
+        """
+        place, entry = self.hits(buf, start, end)
+        slots = 1 << max(10, (4 * len(place)).bit_length())
+        line = place + self.after[entry]
+        slot = ((line * self.rate[entry]).astype(np.int32) + self.salt[entry] & slots - 1) + 1
+        count = np.bincount(slot, minlength=slots + 2).astype(np.int32)
+        count[0], count[-1] = count[-2], count[1]
+        pair = count[1:] + count[:-1]
+        kept = np.flatnonzero(np.maximum(pair[1:], pair[:-1])[slot - 1] >= self.asks[entry])
+        return place[kept] + np.int64(start), entry[kept]
 
     def windows(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, start, from, to): where as many pieces as a match has unharmed lie in line.
@@ -164,29 +199,45 @@ class Items:
         ends = np.cumsum([len(t) + 1 for t in texts])
         begins = np.append(0, ends[:-1])
         # no piece holds the line end between two texts
-        place, item, off = self.hits(b"\n".join(texts) + bytes(8))
+        buf = b"\n".join(texts) + bytes(8)
+        # hits are counted for whole texts, or parts of a text that share more than a match is long
+        shared, found, start = 2 * int(self.size.max()) + 8, [], 0
+        chunk = max(CHUNK, 4 * shared)
+        while start < len(buf) - 8:
+            end = min(start + chunk, len(buf) - 8)
+            last = int(np.searchsorted(ends, end, "right"))
+            whole = int(ends[last - 1]) if last and ends[last - 1] > start else None
+            if end < len(buf) - 8 and whole:
+                end = whole
+            found.append(self.crowded(buf, start, end))
+            start = end if end == whole or end == len(buf) - 8 else end - shared
+        if not found:
+            return []
+        place, entry = (np.concatenate(x) for x in zip(*found))
         text = np.searchsorted(ends, place, "right")
-        # shifts of a match differ by its edits at most, so they are in one bin or in two side by side
-        step = np.array(self.most, np.int64)[item] + 1
+        item, off = self.of[entry], self.off[entry]
         line = place - begins[text] - off
-        bins = int(max(map(len, texts), default=0) + self.size.max()) + 2
-        key = (text * len(self.keys) + item) * bins + (line + self.size[item]) // step
-        name, n = _runs(np.sort(key))
-        beside = np.append(np.where(name[1:] == name[:-1] + 1, n[1:], 0), np.zeros(min(1, len(name)), np.int64))
-        name = name[n + beside >= self.least[name // bins % len(self.keys)]]
-        # the hits of these, in order
-        wanted = np.append(np.union1d(name, name + 1), np.iinfo(np.int64).max)
-        mine = np.flatnonzero(wanted[np.searchsorted(wanted, key)] == key)
-        mine = mine[np.argsort(key[mine])]
-        first, last = np.searchsorted(key[mine], name, "left"), np.searchsorted(key[mine], name + 1, "right")
-        off, line = off[mine], line[mine]
+        # hits of a text and an item in order of their lines; what two parts share is there once
+        room = int(max(map(len, texts), default=0) + 3 * self.size.max()) + 1
+        key = (text * len(self.keys) + item) * room + line + self.size[item]
+        order = np.lexsort((off, key)) if len(found) > 1 else np.argsort(key, kind="stable")
+        key, off = key[order], off[order]
+        once = np.append(np.ones(min(1, len(key)), bool), (key[1:] != key[:-1]) | (off[1:] != off[:-1]))
+        key, off, order = key[once], off[once], order[once]
+        line, item, text = line[order], item[order], text[order]
+        edits = np.array(self.most, np.int64)[item]
+        after = np.searchsorted(key, key + edits, "right")
+        at = np.flatnonzero(after - np.arange(len(key)) >= self.least[item])
+        if not len(at):
+            return []
+        # windows that share a hit are one
+        new = np.append(True, at[1:] >= np.maximum.accumulate(after[at])[:-1])
+        first, last = at[new], after[at[np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1)]]
         out = []
-        for which, a, b in zip(name.tolist(), first.tolist(), last.tolist()):
-            d, i = divmod(which // bins, len(self.keys))
-            own = slice(a, b)
-            if len(set(off[own].tolist())) >= self.least[i]:
-                edits, low = self.most[i], which % bins * (self.most[i] + 1) - len(self.texts[i])
-                out.append((d, i, int(np.median(line[own])), max(0, low - edits), max(0, low + 2 * (edits + 1) + len(self.texts[i]) + 2 * edits)))
+        for a, b in zip(first.tolist(), last.tolist()):
+            i, e = int(item[a]), int(edits[a])
+            if len(set(off[a:b].tolist())) >= self.least[i]:
+                out.append((int(text[a]), i, int(line[(a + b) // 2]), max(0, int(line[a]) - e), max(0, int(line[b - 1]) + len(self.texts[i]) + e)))
         return out
 
     def near(self, asked: list[tuple[int, bytes]]) -> np.ndarray:
@@ -227,20 +278,29 @@ class Items:
         """
         data = [b" ".join(raw(t).lower().split()) for t in texts]
         best: dict[tuple[int, int], int] = {}
-        done = set()
+        done: set[int] = set()
+        asked = []
         for of, group in self.groups(data):
-            asked = self.windows(group)
-            near = self.near([(i, group[g][max(0, at):max(0, at) + len(self.texts[i])]) for g, i, at, _, _ in asked])
-            # those that share a key first, then what the keys missed
-            for k in np.argsort(~near, kind="stable").tolist():
-                g, i, _, start, end = asked[k]
-                d, far = of[g], best.get((of[g], i), self.most[i] + 1)
-                if far and (every or d not in done):
-                    best[d, i] = min(far, search(self.texts[i], group[g][start:end], self.most[i]))
-                    if best[d, i] <= self.most[i]:
-                        done.add(d)
+            for g, i, at, start, end in self.windows(group):
+                asked.append((of[g], i, group[g][max(0, at):max(0, at) + len(self.texts[i])], group[g], start, end))
+                if len(asked) == ASKED:
+                    self.verify(asked, best, done, every)
+                    asked = []
+        self.verify(asked, best, done, every)
         return [(d, self.keys[i], e) for (d, i), e in sorted(best.items()) if e <= self.most[i]]
 
+    def verify(self, asked: list[tuple[int, int, bytes, bytes, int, int]], best: dict[tuple[int, int], int], done: set[int], every: bool) -> None:
+        """Search the windows ``asked`` (text, item, window, part of the text, from, to); ``best`` and ``done`` take what is found."""
+        near = self.near([(i, window) for _, i, window, _, _, _ in asked])
+        # those that share a key first, then what the keys missed
+        for k in np.argsort(~near, kind="stable").tolist():
+            d, i, _, part, start, end = asked[k]
+            far = best.get((d, i), self.most[i] + 1)
+            if far and (every or d not in done):
+                best[d, i] = min(far, search(self.texts[i], part[start:end], self.most[i]))
+                if best[d, i] <= self.most[i]:
+                    done.add(d)
+
 
 _ITEMS: dict[str, Items] = {}
 

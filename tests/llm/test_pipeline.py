@@ -193,6 +193,38 @@ def test_no_pair_within_the_limit_is_lost(monkeypatch, pairs):
     assert {p for p, _, _ in held.matches(texts, every=False)} == {p for p, _, _ in want}
 
 
+def test_a_copy_is_searched_once_and_in_little_more_than_its_place():
+    """The cost of the exact search: one window for a copy, with room for the edits on either side."""
+    rng = random.Random(4)
+    say = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9))) for _ in range(n))
+    items = [(k, say(rng.randint(15, 50))) for k in range(40)]
+    held = decontaminate.Items(items)
+    texts = [f"{say(rng.randint(1, 60))} {t} {say(60)}".encode() for _, t in items]
+    found = held.windows(texts)
+    assert [(p, i) for p, i, _, _, _ in found] == [(k, k) for k in range(40)]
+    assert all(end - start <= len(items[k][1]) + 3 * held.most[k] for k, _, _, start, end in found)
+
+
+def test_hits_are_counted_across_parts_of_a_long_text(monkeypatch):
+    """Copies anywhere in texts that are longer than what is counted at a time, and short texts among them."""
+    rng = random.Random(6)
+    say = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9))) for _ in range(n))
+    items = [(k, say(rng.choice([2, 10, 30]))) for k in range(30)]
+    edited = lambda t: "".join(c if rng.random() > 0.08 else "z" for c in t)
+    long = lambda: " ".join(x for _, t in rng.sample(items, 20) for x in (say(rng.randint(0, 60)), edited(t)))
+    texts = [long(), "", say(3), items[3][1], long(), long(), edited(items[5][1])]
+    monkeypatch.setattr(decontaminate, "CHUNK", 1, raising=False)
+    monkeypatch.setattr(decontaminate, "ASKED", 3, raising=False)
+    want = []
+    for p, t in enumerate(texts):
+        t = " ".join(t.split()).encode()
+        for k, x in items:
+            most = len(x) * 15 // 100
+            far = decontaminate.search(x.encode(), t, most)
+            want += [(p, k, far)] if far <= most else []
+    assert len(want) > 50 and decontaminate.Items(items).matches(texts) == want
+
+
 def test_filters_are_as_large_as_their_keys_need(spark):
     """A filter holds all its keys and few others, and few keys have a small one."""
     for n, most in ((0, 1 << 10), (1000, 1 << 17), (300_000, 1 << 25)):
