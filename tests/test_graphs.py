@@ -122,3 +122,38 @@ def test_small_parts_need_no_rounds(spark, monkeypatch, name):
     monkeypatch.setattr(graphs, "PACK", 4, raising=False)
     test_cycles_and_parts(spark, name)
     assert not {"trimmed", "spread", "coloured"} & set(made)
+
+
+def test_long_ways_need_few_rounds(spark, monkeypatch):
+    """A ring and a chain that lead through one node after the other, too long for a task, shrink by a part in each round."""
+    made, write = [], graphs.materialize
+
+    def note(df, label):
+        made.append(label)
+        assert len(made) < 100, "a round for each step"
+        return write(df, label)
+
+    monkeypatch.setattr(graphs, "materialize", note)
+    monkeypatch.setattr(graphs, "WITHIN", 100)
+    ring = [(i, (i + 1) % 500) for i in range(500)] + [(600 + i, 601 + i) for i in range(300)] + [(3, 600), (900, 2000), (2000, 2001), (2001, 2000)]
+    got = {r.node: r.component for r in graphs.cycles(table(spark, ring)).collect()}
+    assert got == {i: 499 for i in range(500)} | {2000: 2001, 2001: 2001}
+
+
+def test_large_core_goes_by_its_busiest_node(spark, monkeypatch):
+    """A core without nodes to merge, larger than a task may have, and two more beside and behind it."""
+    r, made, write = random.Random(5), [], graphs.materialize
+
+    def note(df, label):
+        made.append(label)
+        return write(df, label)
+
+    monkeypatch.setattr(graphs, "materialize", note)
+    monkeypatch.setattr(graphs, "WITHIN", 60)
+    edges = [(b + i, b + (i * k + k) % n) for b, n in ((0, 60), (100, 9), (200, 7)) for i in range(n) for k in (1, 2, 4)] + [(5, 100), (7, 104)]
+    edges += [(300 + r.randrange(90), 300 + r.randrange(90)) for _ in range(120)]
+    way = reach(edges)
+    want = {n: max(m for m in way[n] if n in way[m]) for n in way if n in way[n]}
+    got = graphs.cycles(table(spark, edges)).collect()
+    assert {x.node: x.component for x in got} == want and len(got) == len(want)
+    assert "parted" in made and "coloured" not in made
